@@ -8,7 +8,9 @@
    coordinates must share one of their COORDS - MATCHES + 1 rarest pairs, so only that prefix is posted. Lists whose
    classes are all in one component are skipped, hence groups of copies cost no pairs. In the others agreeing
    coordinates are counted for classes of different components; lists over LIST rows are cut into blocks, and
-   each pair of blocks is a task's work of bounded size. Pairs from MATCHES on are confirmed on the full sets.
+   each pair of blocks is a task's work of bounded size. From MATCHES on, the class of the smaller component
+   becomes a candidate of the other component: one row, however many of its classes agree. It is then held, on
+   full sets, against the classes of that component, block by block, until one is linked: one link joins both.
 4. Components of all confirmed links, by repeated minima, checkpointed as tables in the shared folder.
 
 A link of similarity s is missed when its signature agrees on fewer than MATCHES of COORDS: below 4e-6 at 0.8 (and
@@ -24,6 +26,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +38,7 @@ COORDS, MATCHES, BAND = 64, 36, 4
 PREFIX = COORDS - MATCHES + 1
 CELLS = 1 << 18  # counters of coordinate-value pairs: a table of fixed size
 LIST = 1500
+BLOCK = 500  # classes of a component that a task holds at once
 WORDS = 500_000
 SET_SCHEMA = "doc_id long, n_shingles long, digest binary, sig binary"
 
@@ -178,8 +182,6 @@ def _cell_counts(classes: DataFrame) -> np.ndarray:
     """How often the coordinate-value pairs of each of CELLS cells occur: CELLS numbers, whatever the input."""
 
     def run(batches):
-        import pyarrow as pa
-
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for s in batch.column(0).to_pylist():
@@ -209,21 +211,22 @@ def _postings(classes: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def make():
         def work(x: dict) -> dict:
-            out: dict[str, list] = {k: [] for k in ("pair", "rep", "comp", "n", "bytes")}
-            for rep, comp, n, s in zip(x["rep"], x["comp"], x["n_shingles"], x["sig"], strict=True):
+            out: dict[str, list] = {k: [] for k in ("pair", "rep", "comp", "members", "n", "bytes")}
+            for rep, comp, members, n, s in zip(x["rep"], x["comp"], x["members"], x["n_shingles"], x["sig"], strict=True):
                 sig = np.frombuffer(s, np.uint32)
                 name = pairs_of(sig)
                 first = np.lexsort((name, shared.value[cells(sig)]))[:PREFIX]
                 out["pair"] += name[first].view(np.int64).tolist()
                 out["rep"] += [rep] * PREFIX
                 out["comp"] += [comp] * PREFIX
+                out["members"] += [members] * PREFIX
                 out["n"] += [n] * PREFIX
                 out["bytes"] += [(sig & 255).astype(np.uint8).tobytes()] * PREFIX
             return out
 
         return work
 
-    return map_batches(classes.select("rep", "comp", "n_shingles", "sig"), make, "pair long, rep long, comp long, n long, bytes binary")
+    return map_batches(classes.select("rep", "comp", "members", "n_shingles", "sig"), make, "pair long, rep long, comp long, members long, n long, bytes binary")
 
 
 def _agreeing(left: tuple, right: tuple, same: bool, share: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +252,7 @@ def _agreeing(left: tuple, right: tuple, same: bool, share: int) -> tuple[np.nda
 
 
 def _joined(posts: DataFrame, share: int) -> DataFrame:
-    """Candidate links between components from lists that hold more than one."""
+    """x (a class) and comp (a component not smaller than its own) that may be linked, from lists of several components."""
     mixed = posts.groupBy("pair").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("pair", "size")
     live = posts.join(mixed, "pair")
     blocks = F.ceil(F.col("size") / LIST).cast("int")
@@ -257,33 +260,35 @@ def _joined(posts: DataFrame, share: int) -> DataFrame:
     live = live.select("*", blocks.alias("blocks"), own.alias("own"))
     # block i meets every block j: rows of i go to the tasks (min, max) for all j
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = live.select("pair", "rep", "comp", "n", "bytes", "own", other).select("pair", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "bytes")
+    rest = ["own", "rep", "comp", "members", "n", "bytes"]
+    tasks = live.select("pair", *rest, other).select("pair", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *rest)
     dealt = tasks.repartition(shuffle_partitions(posts.sparkSession), "pair", "i", "j").sortWithinPartitions("pair", "i", "j", "own", "rep")
-    schema = _arrow_schema("a long, b long")
+    schema = _arrow_schema("x long, comp long")
 
     def run(batches):
         def meet(cols: list[np.ndarray]) -> np.ndarray:
-            """cols: own, rep, comp, n, bytes of one task."""
-            own, rep, comp, n, sig = cols
-            if own[0] == own[-1]:
-                left = right = (comp, n, sig)
-                i, j = _agreeing(left, right, True, share)
-                a, b = rep[i], rep[j]
-            else:
-                k = int(np.searchsorted(own, own[-1]))
-                i, j = _agreeing((comp[:k], n[:k], sig[:k]), (comp[k:], n[k:], sig[k:]), False, share)
-                a, b = rep[:k][i], rep[k:][j]
-            return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+            """cols: own, rep, comp, members, n, bytes of one task."""
+            own, rep, comp, members, n, sig = cols
+            k = 0 if own[0] == own[-1] else int(np.searchsorted(own, own[-1]))
+            left, right = (slice(0, k), slice(k, None)) if k else (slice(None), slice(None))
+            i, j = _agreeing((comp[left], n[left], sig[left]), (comp[right], n[right], sig[right]), not k, share)
+            j = j + k
+            swap = (members[i] > members[j]) | (members[i] == members[j]) & (comp[i] < comp[j])
+            return np.stack([rep[np.where(swap, j, i)], comp[np.where(swap, i, j)]], 1)
+
+        def emit(found):
+            rows = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], schema=schema)
 
         held: list[np.ndarray] | None = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)]
-            cols.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, COORDS))
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(8)]
+            cols.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, COORDS))
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
             key = np.stack(cols[:3], 1)
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            edges = [0, *cut.tolist()]
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
             found = []
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 if e - s > 1 and (cols[5][s] != cols[5][s:e]).any():
@@ -293,15 +298,55 @@ def _joined(posts: DataFrame, share: int) -> DataFrame:
         if held is not None and len(held[0]) > 1:
             yield from emit([meet(held[3:])])
 
-    def emit(found):
-        import pyarrow as pa
-
-        rows = np.concatenate([np.empty((0, 2), np.int64), *found])
-        if len(rows):
-            rows = np.unique(rows, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], schema=schema)
+    return dealt.select("pair", "i", "j", *rest).mapInArrow(run, "x long, comp long").distinct()
+
+
+def _confirmed_against(wanted: DataFrame, known: DataFrame, docs: DataFrame, width: int, share: int) -> DataFrame:
+    """A link (a, b) for every x and comp of ``wanted`` that have one."""
+    n = wanted.groupBy("comp").agg(F.count(F.lit(1)).alias("n_x"))
+    sizes = written(n.join(known.where("rep = comp").select("comp", "members"), "comp").select("comp", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_x") / (4 * BLOCK)).cast("int").alias("parts")), "sizes")
+    doc = known.select("rep", F.col("n_shingles").alias("n"), "sig")
+    m, p = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    inside = known.select("rep", "comp").join(sizes, "comp").select("comp", m.alias("m"), upto("parts").alias("p"), F.lit(0).alias("side"), "rep")
+    outside = wanted.withColumnRenamed("x", "rep").join(sizes, "comp").select("comp", upto("blocks").alias("m"), p.alias("p"), F.lit(1).alias("side"), "rep")
+    rows = written(inside.union(outside), "tasks")
+    texts = by_ids(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), written(rows.select(F.col("rep").alias("doc_id")).distinct(), "candidate-ids"), "left_semi")
+    full = rows.join(doc, "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    dealt = full.repartition(shuffle_partitions(docs.sparkSession), "comp", "m", "p").sortWithinPartitions("comp", "m", "p", "side", "rep")
+    schema = _arrow_schema("a long, b long")
 
-    return dealt.select("pair", "i", "j", "own", "rep", "comp", "n", "bytes").mapInArrow(run, "a long, b long").distinct()
+    def run(batches):
+        key, ids, counts, sigs, sets = None, [], [], [], []
+        table: tuple | None = None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for comp, m, p, side, rep, n, sig, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (comp, m, p) != key:
+                    key, ids, counts, sigs, sets, table = (comp, m, p), [], [], [], [], None
+                own = np.frombuffer(sig, np.uint32)
+                if side == 0:
+                    ids.append(rep)
+                    counts.append(n)
+                    sigs.append(own)
+                    sets.append(text)
+                    continue
+                if not ids:
+                    continue
+                table = table or (np.array(counts), np.stack(sigs))
+                same = (table[1] == own).sum(1)
+                fits = np.flatnonzero((same >= MATCHES) & (100 * table[0] >= share * n) & (100 * n >= share * table[0]))
+                words = shingles(text, width) if len(fits) else set()
+                for k in fits[np.argsort(-same[fits], kind="stable")].tolist():
+                    if not isinstance(sets[k], set):
+                        sets[k] = shingles(sets[k], width)
+                    if linked(words, sets[k], share):
+                        found.append((rep, ids[k]))
+                        break
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
+
+    return dealt.select("comp", "m", "p", "side", "rep", "n", "sig", "text").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, share: int = SHARE) -> DataFrame:
@@ -311,10 +356,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, share: int = SHARE) -
     classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"), F.min("n_shingles").alias("n_shingles")), "classes")
     links = written(_confirmed(written(_stars(classes), "stars"), docs, width, share), "links")
     first = components(links)
-    known = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"), "n_shingles", "sig")
+    sizes = first.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
+    first = first.join(sizes, "comp").withColumnRenamed("node", "rep")
+    known = classes.join(first, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"), "n_shingles", "sig")
     known = written(known, "first-components")
-    posts = _postings(known, _cell_counts(known))
-    more = _confirmed(written(_joined(posts, share), "joined"), docs, width, share)
+    wanted = written(_joined(_postings(known, _cell_counts(known)), share), "joined")
+    more = _confirmed_against(wanted, known, docs, width, share)
     final = components(links.union(written(more, "links")))
     label = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
     ids = sets.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
