@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 DEPTH = 4  # segments of a template; what lies deeper is one wildcard
@@ -67,10 +69,12 @@ def templates(urls: DataFrame) -> DataFrame:
     """
     shaped = urls.select("host", "bad", *[c.alias(s) for c, s in zip(_levels(F.col("path")), SEGMENTS, strict=True)])
     tree = shaped.groupBy("host", *SEGMENTS).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("bad") == 1).alias("bad"), F.count_if(F.col("bad") == 0).alias("good"))
+    tree = written(tree, "templates")  # and after each level: the next reads it twice
     for i in range(DEPTH):  # wildcards where a prefix has many children
         prefix, s = ["host", *NODES[:i]], F.col(SEGMENTS[i])
         many = tree.groupBy(*prefix).agg(F.approx_count_distinct(s, 0.02).alias("kids")).where(F.col("kids") > CHILDREN)
         tree = tree.join(many, prefix, "left").withColumn(NODES[i], F.when(F.col("kids").isNull() | (s == NONE), s).otherwise(F.lit("*"))).drop("kids")
+        tree = written(tree, "templates")
     return tree
 
 
@@ -80,8 +84,9 @@ def judged_templates(urls: DataFrame) -> DataFrame:
     node = tree.groupBy("host", *NODES).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     parent = node.groupBy("host", NODES[0]).agg(F.sum("bad").alias("p_bad"), F.sum("good").alias("p_good"))
     host = parent.groupBy("host").agg(F.sum("p_bad").alias("h_bad"), F.sum("p_good").alias("h_good"))
-    every = host.agg(F.coalesce(F.sum("h_bad"), F.lit(0)).alias("a_bad"), F.coalesce(F.sum("h_good"), F.lit(0)).alias("a_good")).withColumn("all", F.lit(1))
-    full = node.join(parent, ["host", NODES[0]]).join(host, "host").withColumn("all", F.lit(1)).join(F.broadcast(every), "all")  # one row
+    bad_all, good_all = tree.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    everywhere = (bad_all + 0.5) / (bad_all + good_all + 1)
+    full = node.join(parent, ["host", NODES[0]]).join(host, "host")
     n, pn = F.col("bad") + F.col("good"), F.col("p_bad") + F.col("p_good")
     rest = pn - n
     pooled = F.try_divide("p_bad", pn)
@@ -89,7 +94,6 @@ def judged_templates(urls: DataFrame) -> DataFrame:
     z = F.abs(gap) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), rest)))
     merged = (n == 0) | (rest == 0) | (F.coalesce(z, F.lit(0.0)) < MERGE_Z)
     bad, seen = F.when(merged, F.col("p_bad")).otherwise(F.col("bad")), F.when(merged, pn).otherwise(n)
-    everywhere = (F.col("a_bad") + 0.5) / (F.col("a_bad") + F.col("a_good") + 1)
     at_host = (F.col("h_bad") + PRIOR * everywhere) / (F.col("h_bad") + F.col("h_good") + PRIOR)
     nodes = full.select("host", *NODES, ((bad + PRIOR * at_host) / (seen + PRIOR)).alias("purity"))
     template = F.concat(F.lit("/"), F.array_join(F.filter(F.array(*NODES), lambda t: t != NONE), "/"))
