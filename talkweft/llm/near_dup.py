@@ -13,8 +13,10 @@
    full sets, against the classes of that component, block by block, until one is linked: one link joins both.
 4. Components of all confirmed links, by repeated minima, checkpointed as tables in the shared folder.
 
-A link of similarity s is missed when its signature agrees on fewer than MATCHES of COORDS: below 4e-6 at 0.8 (and
-the stars must miss it too), falling fast above. Everything confirmed is exact.
+A link is missed when its signature agrees on fewer than MATCHES of COORDS (probability 4.3e-5 at similarity 0.8, 6e-6 at
+0.82, 1.5e-7 at 0.85) and the stars don't join its components. Coordinates are compared by 16 bits; a pair is taken up in
+the list of its first posted coordinate that agrees, so a chance agreement before it costs at most 4e-5 more. Everything
+confirmed is exact.
 
 Edge cases: A-Z is lower-cased; texts of one word are one shingle; null, empty and blank texts have no shingles
 and no links, so each is a component by itself; null doc_ids keep a null component and are linked with nothing;
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import _arrow_schema, by_ids, map_batches, shuffle_partitions, written
 
 SHINGLE, SHARE = 2, 80  # words a shingle; hundredths of the union that a link needs in common
-COORDS, MATCHES, BAND = 64, 36, 4
+COORDS, MATCHES, BAND = 64, 38, 4
 PREFIX = COORDS - MATCHES + 1
 CELLS = 1 << 18  # counters of coordinate-value pairs: a table of fixed size
 LIST = 1500
@@ -211,7 +213,7 @@ def _postings(classes: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def make():
         def work(x: dict) -> dict:
-            out: dict[str, list] = {k: [] for k in ("pair", "rep", "comp", "members", "n", "bytes")}
+            out: dict[str, list] = {k: [] for k in ("pair", "rep", "comp", "members", "n", "bytes", "mask", "coord")}
             for rep, comp, members, n, s in zip(x["rep"], x["comp"], x["members"], x["n_shingles"], x["sig"], strict=True):
                 sig = np.frombuffer(s, np.uint32)
                 name = pairs_of(sig)
@@ -221,31 +223,37 @@ def _postings(classes: DataFrame, counts: np.ndarray) -> DataFrame:
                 out["comp"] += [comp] * PREFIX
                 out["members"] += [members] * PREFIX
                 out["n"] += [n] * PREFIX
-                out["bytes"] += [(sig & 255).astype(np.uint8).tobytes()] * PREFIX
+                out["bytes"] += [sig.astype(np.uint16).tobytes()] * PREFIX
+                out["mask"] += [int(np.bitwise_or.reduce(np.uint64(1) << first.astype(np.uint64)).view(np.int64))] * PREFIX
+                out["coord"] += first.tolist()
             return out
 
         return work
 
-    return map_batches(classes.select("rep", "comp", "members", "n_shingles", "sig"), make, "pair long, rep long, comp long, members long, n long, bytes binary")
+    return map_batches(classes.select("rep", "comp", "members", "n_shingles", "sig"), make, "pair long, rep long, comp long, members long, n long, bytes binary, mask long, coord int")
 
 
-def _agreeing(left: tuple, right: tuple, same: bool, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two blocks (comp, n, coordinate bytes) that may be linked."""
-    i, j = np.triu_indices(len(left[0]), 1) if same and len(left[0]) <= 64 else (None, None)
-    if i is None:
+def _agreeing(left: tuple, right: tuple, same: bool, coord: int, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of two blocks (comp, n, coordinates, posted) that may be linked and agree first at ``coord``."""
+    if same and len(left[0]) <= 64:
+        i, j = np.triu_indices(len(left[0]), 1)
+        ok = left[0][i] != left[0][j]
+        i, j = i[ok], j[ok]
+    else:
         ok = left[0][:, None] != right[0][None, :]
-        ok &= (100 * left[1][:, None] >= share * right[1][None, :]) & (100 * right[1][None, :] >= share * left[1][:, None])
         if same:
             ok &= np.tri(len(left[0]), k=-1, dtype=bool).T
         i, j = np.nonzero(ok)
-    else:
-        n, m = left[1][i], left[1][j]
-        ok = (left[0][i] != left[0][j]) & (100 * n >= share * m) & (100 * m >= share * n)
-        i, j = i[ok], j[ok]
+    n, m = left[1][i], right[1][j]
+    ok = (100 * n >= share * m) & (100 * m >= share * n)
+    i, j = i[ok], j[ok]
     found = [np.empty((2, 0), np.int64)]
-    for a in range(0, len(i), 1 << 16):
-        p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
-        ok = (left[2][p] == right[2][q]).sum(1) >= MATCHES
+    for a in range(0, len(i), 1 << 15):
+        p, q = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
+        equal = left[2][p] == right[2][q]
+        ok = equal.sum(1) >= MATCHES
+        p, q, equal = p[ok], q[ok], equal[ok]
+        ok = np.argmax(equal & left[3][p] & right[3][q], axis=1) == coord
         found.append(np.stack([p[ok], q[ok]]))
     both = np.concatenate(found, axis=1)
     return both[0], both[1]
@@ -260,18 +268,19 @@ def _joined(posts: DataFrame, share: int) -> DataFrame:
     live = live.select("*", blocks.alias("blocks"), own.alias("own"))
     # block i meets every block j: rows of i go to the tasks (min, max) for all j
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rest = ["own", "rep", "comp", "members", "n", "bytes"]
+    rest = ["own", "rep", "comp", "members", "n", "mask", "coord", "bytes"]
     tasks = live.select("pair", *rest, other).select("pair", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *rest)
     dealt = tasks.repartition(shuffle_partitions(posts.sparkSession), "pair", "i", "j").sortWithinPartitions("pair", "i", "j", "own", "rep")
     schema = _arrow_schema("x long, comp long")
 
     def run(batches):
         def meet(cols: list[np.ndarray]) -> np.ndarray:
-            """cols: own, rep, comp, members, n, bytes of one task."""
-            own, rep, comp, members, n, sig = cols
+            """cols: own, rep, comp, members, n, mask, coord, coordinates of one task."""
+            own, rep, comp, members, n, mask, coord, sig = cols
+            posted = (mask[:, None] >> np.arange(COORDS)) & 1 == 1
             k = 0 if own[0] == own[-1] else int(np.searchsorted(own, own[-1]))
             left, right = (slice(0, k), slice(k, None)) if k else (slice(None), slice(None))
-            i, j = _agreeing((comp[left], n[left], sig[left]), (comp[right], n[right], sig[right]), not k, share)
+            i, j = _agreeing((comp[left], n[left], sig[left], posted[left]), (comp[right], n[right], sig[right], posted[right]), not k, int(coord[0]), share)
             j = j + k
             swap = (members[i] > members[j]) | (members[i] == members[j]) & (comp[i] < comp[j])
             return np.stack([rep[np.where(swap, j, i)], comp[np.where(swap, i, j)]], 1)
@@ -283,8 +292,8 @@ def _joined(posts: DataFrame, share: int) -> DataFrame:
 
         held: list[np.ndarray] | None = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(8)]
-            cols.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, COORDS))
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(10)]
+            cols.append(np.frombuffer(b"".join(batch.column(10).to_pylist()), np.uint16).reshape(-1, COORDS))
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
             key = np.stack(cols[:3], 1)

@@ -186,7 +186,14 @@ def test_archive_bytes():
     assert trained and data[:4] == b"\x5d\x2a\x4d\x18" and [m for _, m in warc_archive.read_archive(data)] == made
 
 
-def test_near_duplicates(spark, docs):
+@pytest.mark.parametrize("stars", [True, False])
+def test_near_duplicates(spark, docs, stars, monkeypatch):
+    """With stars, and by the inverted join alone."""
+    from talkweft.llm import near_dup
+
+    if not stars:
+        monkeypatch.setattr(near_dup, "_stars", lambda classes: classes.sparkSession.createDataFrame([], "a long, b long"))
+
     def shingles(x):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x))
         return set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)} if w else set()
