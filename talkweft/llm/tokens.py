@@ -1,14 +1,15 @@
 """Token ids by the tokenizers library, a word at a time.
 
 The vocabulary's pre-tokenizer drops white space and no token spans it, so a text's ids are those of its
-words in turn; each distinct word of a task is encoded once, WORDS of them are remembered.
+words in turn; a worker process remembers up to WORDS of them.
 """
 
 from __future__ import annotations
 
+import os
 from itertools import chain
 
-WORDS = 400_000
+WORDS = 600_000
 
 
 def default_vocabulary() -> str:
@@ -17,24 +18,40 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordCache(dict):
+class WordCache:
+    """Ids of words. What a worker process has learnt serves all its tasks: it is kept under a module of its own."""
+
     def __init__(self, vocabulary: str) -> None:
-        from tokenizers import Tokenizer
+        import sys
+        from types import ModuleType
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        if len(word) < 64:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        kept = sys.modules.setdefault("_talkweft_words", ModuleType("_talkweft_words")).__dict__
+        if vocabulary not in kept:
+            kept[vocabulary] = Tokenizer.from_file(vocabulary), {}
+        self.tokenizer, self.known = kept[vocabulary]
+
+    def words(self, text: str) -> list[list[int]]:
+        """The ids of each word of a text; its new words are encoded in one call."""
+        words, known = text.replace("\n", " ").split(" "), self.known
+        new = list(set(words).difference(known))
+        if new:
+            if len(known) + len(new) > WORDS:
+                known.clear()
+                new = list(set(words))
+            known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        out = list(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > 64:
+                del known[w]
+        return out
 
 
 def ids_of(text: str | None, cache: WordCache) -> list[int]:
-    return list(chain.from_iterable(map(cache.__getitem__, text.replace("\n", " ").split(" ")))) if text else []
+    return list(chain.from_iterable(cache.words(text))) if text else []
 
 
 def count_of(text: str | None, cache: WordCache) -> int:
-    return sum(map(len, map(cache.__getitem__, text.replace("\n", " ").split(" ")))) if text else 0
+    return sum(map(len, cache.words(text))) if text else 0
