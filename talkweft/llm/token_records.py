@@ -67,10 +67,9 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = E
             nonlocal tokens
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = ids_of(text, cache)
-                    ids.append(end_id)
+                    ids = np.append(ids_of(text, cache), np.uint32(end_id))
                     tokens += len(ids)
-                    data = frame(doc_id, np.array(ids, np.uint32))
+                    data = frame(doc_id, ids)
                     index.append(len(data))
                     yield data
 
