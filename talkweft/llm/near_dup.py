@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, by_ids, map_batches, shuffle_partitions, written
+from .common import BROADCAST_ROWS, _arrow_schema, by_ids, map_batches, shuffle_partitions, written
 
 SHINGLE, SHARE = 2, 80  # words a shingle; hundredths of the union that a link needs in common
 COORDS, MATCHES, BAND = 64, 38, 4
@@ -207,30 +207,43 @@ def cells(sig: np.ndarray) -> np.ndarray:
     return (pairs_of(sig) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
 
 
-def _postings(classes: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Each class under its PREFIX rarest coordinate-value pairs."""
-    shared = classes.sparkSession.sparkContext.broadcast(counts.astype(np.int64))
+def rarest(sig: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The PREFIX coordinates of a signature whose pairs are rarest; equal counts go by name."""
+    return np.lexsort((pairs_of(sig), counts[cells(sig)]))[:PREFIX]
+
+
+def _postings(classes: DataFrame, shared) -> DataFrame:
+    """Each class under its PREFIX rarest coordinate-value pairs; its coordinates join the lists that are counted."""
 
     def make():
         def work(x: dict) -> dict:
-            out: dict[str, list] = {k: [] for k in ("pair", "rep", "comp", "members", "n", "bytes", "mask", "coord")}
-            for rep, comp, members, n, s in zip(x["rep"], x["comp"], x["members"], x["n_shingles"], x["sig"], strict=True):
+            out: dict[str, list] = {k: [] for k in ("pair", "rep", "comp", "coord")}
+            for rep, comp, s in zip(x["rep"], x["comp"], x["sig"], strict=True):
                 sig = np.frombuffer(s, np.uint32)
-                name = pairs_of(sig)
-                first = np.lexsort((name, shared.value[cells(sig)]))[:PREFIX]
-                out["pair"] += name[first].view(np.int64).tolist()
+                first = rarest(sig, shared.value)
+                out["pair"] += pairs_of(sig)[first].view(np.int64).tolist()
                 out["rep"] += [rep] * PREFIX
                 out["comp"] += [comp] * PREFIX
-                out["members"] += [members] * PREFIX
-                out["n"] += [n] * PREFIX
-                out["bytes"] += [sig.astype(np.uint16).tobytes()] * PREFIX
-                out["mask"] += [int(np.bitwise_or.reduce(np.uint64(1) << first.astype(np.uint64)).view(np.int64))] * PREFIX
                 out["coord"] += first.tolist()
             return out
 
         return work
 
-    return map_batches(classes.select("rep", "comp", "members", "n_shingles", "sig"), make, "pair long, rep long, comp long, members long, n long, bytes binary, mask long, coord int")
+    return map_batches(classes.select("rep", "comp", "sig"), make, "pair long, rep long, comp long, coord int")
+
+
+def _coordinates(classes: DataFrame, shared) -> DataFrame:
+    """What counting needs of a class, once: its coordinates by 16 bits, and which are posted."""
+
+    def make():
+        def work(x: dict) -> dict:
+            sigs = [np.frombuffer(s, np.uint32) for s in x["sig"]]
+            posted = [np.bitwise_or.reduce(np.uint64(1) << rarest(s, shared.value).astype(np.uint64)) for s in sigs]
+            return {"rep": x["rep"], "members": x["members"], "n": x["n_shingles"], "bytes": [s.astype(np.uint16).tobytes() for s in sigs], "mask": [int(m.view(np.int64)) for m in posted]}
+
+        return work
+
+    return map_batches(classes.select("rep", "members", "n_shingles", "sig"), make, "rep long, members long, n long, bytes binary, mask long")
 
 
 def _agreeing(left: tuple, right: tuple, same: bool, coord: int, share: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,10 +272,12 @@ def _agreeing(left: tuple, right: tuple, same: bool, coord: int, share: int) ->
     return both[0], both[1]
 
 
-def _joined(posts: DataFrame, share: int) -> DataFrame:
+def _joined(known: DataFrame, share: int) -> DataFrame:
     """x (a class) and comp (a component not smaller than its own) that may be linked, from lists of several components."""
+    shared = known.sparkSession.sparkContext.broadcast(_cell_counts(known))
+    posts = _postings(known, shared)
     mixed = posts.groupBy("pair").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("pair", "size")
-    live = posts.join(mixed, "pair")
+    live = posts.join(mixed, "pair").join(_coordinates(known, shared), "rep")
     blocks = F.ceil(F.col("size") / LIST).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     live = live.select("*", blocks.alias("blocks"), own.alias("own"))
@@ -366,10 +381,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, share: int = SHARE) -
     links = written(_confirmed(written(_stars(classes), "stars"), docs, width, share), "links")
     first = components(links)
     sizes = first.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    first = first.join(sizes, "comp").withColumnRenamed("node", "rep")
+    first = written(first.join(sizes, "comp").withColumnRenamed("node", "rep"), "members")
+    if first.count() <= BROADCAST_ROWS // 4:  # three numbers a row
+        first = F.broadcast(first)
     known = classes.join(first, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"), "n_shingles", "sig")
     known = written(known, "first-components")
-    wanted = written(_joined(_postings(known, _cell_counts(known)), share), "joined")
+    wanted = written(_joined(known, share), "joined")
     more = _confirmed_against(wanted, known, docs, width, share)
     final = components(links.union(written(more, "links")))
     label = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
