@@ -51,7 +51,7 @@ def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(_table(spark, sf_dir, "pages"))
+    return filter_urls(_table(spark, sf_dir, "pages"), labels=_table(spark, sf_dir, "labels"))
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,14 @@ generalised to ``*`` by its shape (digits, hex, long mixed codes) or, where a pr
 different children, by their number. Branches of one parent whose labelled shares differ no more than chance
 (two-proportion z under MERGE_Z against their parent's) are merged into the parent's pooled branch. A template
 is rejected when its purity, the labelled bad share smoothed by its host's and that by all hosts', reaches
-PURITY. Urls are pre-aggregated to templates before any shuffle of theirs, so a hot host is a few rows.
+PURITY, and only where it or its parent has labelled urls: a host's share alone rejects nothing. A url is
+labelled by the document it shows, whose doc_id is the number that ends its path: bad is quality 0 or toxic 1.
+The fixed rules' verdicts are no labels, since they say nothing of the urls that no rule decides. Urls are pre-aggregated to templates before any shuffle of theirs, so a hot host is a few rows.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, no rule, and is judged by the
 template of the empty host, which has no labels and is allowed; an empty path has depth 0; ties of rules go to
-the longer rule text, then the smaller; repeated rows get equal verdicts; without labels nothing is rejected.
+the longer rule text, then the smaller; repeated rows get equal verdicts; without labels nothing is rejected;
+of repeated labels of a document the bad one holds; labels of null ids or without any mark are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_ROWS, written
 
 # (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -65,7 +68,7 @@ def _levels(path: Column) -> list[Column]:
 def templates(urls: DataFrame) -> DataFrame:
     """Path templates with counts: host, s0..s3 (as shaped), t0..t3 (generalised), n, bad, good.
 
-    ``urls`` has host, path and bad (1 block, 0 allow, null unlabelled).
+    ``urls`` has host, path and bad (1 bad, 0 good, null unlabelled).
     """
     shaped = urls.select("host", "bad", *[c.alias(s) for c, s in zip(_levels(F.col("path")), SEGMENTS, strict=True)])
     tree = shaped.groupBy("host", *SEGMENTS).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("bad") == 1).alias("bad"), F.count_if(F.col("bad") == 0).alias("good"))
@@ -95,18 +98,35 @@ def judged_templates(urls: DataFrame) -> DataFrame:
     merged = (n == 0) | (rest == 0) | (F.coalesce(z, F.lit(0.0)) < MERGE_Z)
     bad, seen = F.when(merged, F.col("p_bad")).otherwise(F.col("bad")), F.when(merged, pn).otherwise(n)
     at_host = (F.col("h_bad") + PRIOR * everywhere) / (F.col("h_bad") + F.col("h_good") + PRIOR)
-    nodes = full.select("host", *NODES, ((bad + PRIOR * at_host) / (seen + PRIOR)).alias("purity"))
+    nodes = full.select("host", *NODES, ((bad + PRIOR * at_host) / (seen + PRIOR)).alias("purity"), (seen > 0).alias("evidence"))
     template = F.concat(F.lit("/"), F.array_join(F.filter(F.array(*NODES), lambda t: t != NONE), "/"))
-    return tree.join(nodes, ["host", *NODES]).select("host", *SEGMENTS, template.alias("template"), "purity", (F.col("purity") >= PURITY).alias("rejected"))
+    return tree.join(nodes, ["host", *NODES]).select("host", *SEGMENTS, template.alias("template"), "purity", ((F.col("purity") >= PURITY) & F.col("evidence")).alias("rejected"))
 
 
-def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+def document_of(path: Column) -> Column:
+    """The doc_id that ends a path, before an extension or a slash; null where there is none."""
+    return F.regexp_extract(path, r"/([0-9]{1,18})(\.[A-Za-z]{2,5})?/?$", 1).try_cast("long")
+
+
+def labelled(urls: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """host, path and bad (null where nothing is known) of every row of ``urls``."""
+    if labels is None:
+        return urls.select("host", "path", F.lit(None).cast("int").alias("bad"))
+    bad = F.greatest(F.lit(1) - F.col("quality"), F.col("toxic")).cast("int")  # a null mark is passed over
+    marks = labels.where("doc_id >= 0").groupBy(F.col("doc_id").alias("document")).agg(F.max(bad).alias("bad")).where("bad IS NOT NULL")
+    if marks.count() <= BROADCAST_ROWS:
+        marks = F.broadcast(marks)
+    key = F.coalesce(document_of(F.col("path")), -1 - F.abs(F.hash("host", "path").cast("long")))  # no key of many rows for those without
+    return urls.select("host", "path", key.alias("document")).join(marks, "document", "left").select("host", "path", "bad")
+
+
+def filter_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of every row of ``pages``."""
     host, path = split_url()
     urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.select("*", rule.alias("rule"), said.alias("said"))
     urls = urls.select("*", *[c.alias(s) for c, s in zip(_levels(F.col("path")), SEGMENTS, strict=True)])
-    judged = judged_templates(urls.select("host", "path", (F.col("said") == "block").cast("int").alias("bad")))
+    judged = judged_templates(labelled(urls, labels))
     method = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
     return urls.join(judged, ["host", *SEGMENTS], "left").select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "template", F.round("purity", 6).alias("purity"))

@@ -96,3 +96,14 @@ def test_templates_are_learnt(spark):
     judged = {(r.host, r.template): r for r in url_filter.judged_templates(urls.select(host.alias("host"), path.alias("path"), "bad")).collect()}
     assert judged["h.com", "/bad/*"].rejected and not judged["h.com", "/good/*"].rejected
     assert ("k.com", "/*/z") in judged and not judged["k.com", "/*/z"].rejected
+
+
+def test_urls_are_judged_by_documents(spark):
+    """Labels of documents decide templates that no rule reaches; many blocked pages of a host decide no other template."""
+    pages = [(i, f"http://h.org/{'bad' if i < 200 else 'good'}/{i}") for i in range(400)] + [(1000 + i, f"http://x.example.com/de/{1000 + i}") for i in range(200)] + [(2000, "http://x.example.com/en/2000"), (2001, "http://h.org/bad/9999.html")]
+    marks = [(i, int(i >= 200), 0) for i in range(400)] + [(1000 + i, 0, None) for i in range(200)] + [(None, 0, 0), (2000, None, None), (5, 1, 0)]
+    pages, marks = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, labels=marks).collect()}
+    assert len(got) == 602 and [got[i].verdict for i in (3, 2001, 300, 1000, 2000)] == ["block", "block", "allow", "block", "allow"]
+    assert got[2000].purity >= url_filter.PURITY and got[2000].rule is None
+    assert {r.verdict for r in url_filter.filter_urls(pages).where("rule IS NULL").collect()} == {"allow"}
