@@ -117,6 +117,25 @@ def test_rules_control_rejection(spark):
     assert quality_rules.choose_cutoffs(few)["en"][0] == quality_rules.GRID
 
 
+def test_rules_of_small_strata():
+    """230 good documents certify a stratum's own cutoffs where none is lost; fewer take the pool's."""
+    rows = [{"stratum": s, "quality": q, "rule": i, "bin": b if i == 0 else 0, "n": n} for s, q, b, n in (("de", 1, 0, 230), ("de", 0, 30, 20), ("en", 1, 0, 2000), ("en", 0, 40, 90), ("es", 1, 0, 10)) for i in range(5)]
+    cuts = quality_rules.choose_cutoffs(rows)
+    assert cuts["de"][0] == 30 and cuts["en"][0] == 40 and cuts["es"][0] == cuts[quality_rules.OTHER][0] == 30
+    assert all(c[1:] == [quality_rules.GRID] * 4 for c in cuts.values())
+    rows = [r for r in rows if r["stratum"] == "en" and r["rule"] != 4]
+    rows += [{"stratum": "en", "quality": q, "rule": 4, "bin": b, "n": n} for q, b, n in ((1, 50, 100), (1, 0, 1900), (0, 50, 1), (0, 0, 89))]
+    assert quality_rules.choose_cutoffs(rows)["en"] == [40] + [quality_rules.GRID] * 4  # a bad cell of another rule stops nothing before it
+
+
+def test_rules_reject_in_every_language(spark):
+    d = "/root/testdata/sf0.1"
+    got = queries.op5_rules(spark, d).where("NOT base_failed").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    for lang in ("de", "en", "es", "fr"):
+        good, bad = ([r.kept for r in got if r.lang == lang and r.quality == q] for q in (1, 0))
+        assert not any(bad) and sum(good) >= (1 - quality_rules.ALPHA) * len(good)
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
 
