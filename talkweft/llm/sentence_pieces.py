@@ -12,15 +12,18 @@ marks or around a line break, so every path passes it, and what lies between suc
 by the sentencepiece library; words are remembered.
 
 Edge cases: null and empty texts have no pieces; U+2581 in a text is encoded as the space it stands for; rows
-that repeat are encoded each; a null doc_id is kept. ``decoded`` says that decoding gives the text back.
+that repeat are encoded each; a null doc_id is kept. ``decoded`` says that decoding gives the given text back, which
+it can't where the text holds U+2581 itself; a null text is decoded as an empty one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +148,11 @@ def marked(text: str | None) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
+def unmarked(text: str) -> str:
+    """The text that was marked()."""
+    return text[1:].replace(MARK, " ")
+
+
 def _cut(text: str, low: int, high: int, last: bool) -> int:
     """The first or last place of low..high that no piece goes across; -1 if there is none."""
     for k in range(high, low - 1, -1) if last else range(low, high + 1):
@@ -232,11 +240,12 @@ def chunks_of(s: str, chunk: int, reach: int) -> list[tuple[str, int, int]]:
     return out
 
 
-def _row(lattice: Lattice, ids: list[int], span: str) -> tuple[int, int, bool]:
-    return len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), lattice.decode(ids) == span
+def digest_of(ids: np.ndarray) -> str:
+    """SHA-1 of the ids in order, four bytes each, the lowest first."""
+    return hashlib.sha1(ids.astype("<u4").tobytes()).hexdigest()
 
 
-RESULT = "n_pieces long, crc long, decoded boolean"
+RESULT = "doc_id long, n_pieces long, ids array<int>, ids_digest string, decoded boolean"
 
 
 def _whole(docs: DataFrame, model: str) -> DataFrame:
@@ -244,30 +253,35 @@ def _whole(docs: DataFrame, model: str) -> DataFrame:
         lattice = Lattice(model)
 
         def work(x: dict) -> dict:
-            rows = [_row(lattice, encode_text(lattice, t), marked(t)) for t in x["text"]]
-            return {"doc_id": x["doc_id"]} | {k: [r[i] for r in rows] for i, k in enumerate(("n_pieces", "crc", "decoded"))}
+            out: dict[str, list] = {k: [] for k in ("n_pieces", "ids", "ids_digest", "decoded")}
+            for text in x["text"]:
+                found = encode_text(lattice, text)
+                ids = np.array(found, np.int32)
+                for k, v in zip(out, (len(ids), ids, digest_of(ids), unmarked(lattice.decode(found)) == (text or "")), strict=True):
+                    out[k].append(v)
+            return {"doc_id": x["doc_id"]} | out
 
         return work
 
-    return map_batches(docs, make, "doc_id long, " + RESULT)
+    return map_batches(docs, make, RESULT)
 
 
 def _chunks(docs: DataFrame, chunk: int, reach: int) -> DataFrame:
-    """row, doc_id, chunk, n_chunks and chunks_of() of every text."""
+    """row, doc_id, chunk, chunks_of() and whether the text has no word mark of its own, of every text."""
 
     def make():
         def work(x: dict) -> dict:
-            out: dict[str, list] = {k: [] for k in ("row", "doc_id", "chunk", "text", "low", "high")}
+            out: dict[str, list] = {k: [] for k in ("row", "doc_id", "chunk", "text", "low", "high", "plain")}
             for row, doc_id, text in zip(x["row"], x["doc_id"], x["text"], strict=True):
                 for c, part in enumerate(chunks_of(marked(text), chunk, reach)):
-                    for k, v in zip(out, (row, doc_id, c, *part), strict=True):
+                    for k, v in zip(out, (row, doc_id, c, *part, MARK not in (text or "")), strict=True):
                         out[k].append(v)
             return out
 
         return work
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return map_batches(rows, make, "row long, doc_id long, chunk int, text string, low int, high int")
+    return map_batches(rows, make, "row long, doc_id long, chunk int, text string, low int, high int, plain boolean")
 
 
 def _scanned(docs: DataFrame, model: str, chunk: int) -> DataFrame:
@@ -313,22 +327,40 @@ def _scanned(docs: DataFrame, model: str, chunk: int) -> DataFrame:
         lattice = Lattice(model)
 
         def work(x: dict) -> dict:
-            rows = [_row(lattice, *trace(lattice, *v)) for v in zip(x["text"], x["low"], x["high"], x["a"], x["b"], strict=True)]
-            return {k: x[k] for k in ("row", "doc_id", "chunk")} | {k: [r[i] for r in rows] for i, k in enumerate(("n_pieces", "crc", "decoded"))}
+            out: dict[str, list] = {"ids": [], "decoded": []}
+            for plain, *at in zip(x["plain"], x["text"], x["low"], x["high"], x["a"], x["b"], strict=True):
+                ids, span = trace(lattice, *at)
+                out["ids"].append(np.array(ids, np.int32))
+                out["decoded"].append(plain and lattice.decode(ids) == span)
+            return {k: x[k] for k in ("row", "doc_id", "chunk")} | out
 
         return work
 
-    traced = map_batches(chunks.join(ends, ["row", "chunk"]).select("row", "doc_id", "chunk", "text", "low", "high", "a", "b"), make_traces, "row long, doc_id long, chunk int, " + RESULT)
-    crcs = F.sort_array(F.collect_list(F.struct("chunk", "crc")))  # one short struct a chunk of one text
-    return traced.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_pieces").alias("n_pieces"), F.array_join(F.transform(crcs, lambda c: F.hex(c["crc"])), ":").alias("digest"), F.every("decoded").alias("decoded")).drop("row")
+    def joined(pdf):
+        pdf = pdf.sort_values("chunk")
+        ids = np.concatenate(pdf["ids"].to_list())
+        return pdf.iloc[:1][["doc_id"]].assign(n_pieces=len(ids), ids=[ids], ids_digest=digest_of(ids), decoded=bool(pdf["decoded"].all()))
+
+    traced = map_batches(chunks.join(ends, ["row", "chunk"]).select("row", "doc_id", "chunk", "text", "low", "high", "plain", "a", "b"), make_traces, "row long, doc_id long, chunk int, ids array<int>, decoded boolean")
+    return traced.groupBy("row").applyInPandas(joined, RESULT)  # a group is one text
 
 
 def encode_pieces(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_pieces, ids_digest (SHA-1 of the chunks' CRC-32 in hex) and decoded of every row."""
+    """doc_id, n_pieces, ids, ids_digest and decoded of every row; nothing of it depends on ``chunk``."""
     model = model or default_model()
     docs = docs.select("doc_id", "text")
     giant = F.length(F.coalesce("text", F.lit(""))) >= 2 * chunk
-    cols = ["doc_id", "n_pieces", "digest", "decoded"]
-    whole = _whole(docs.where(~giant), model).withColumn("digest", F.hex("crc"))
-    both = whole.select(*cols).union(_scanned(docs.where(giant), model, chunk).select(*cols))
-    return both.select("doc_id", "n_pieces", F.sha1("digest").alias("ids_digest"), "decoded")
+    return _whole(docs.where(~giant), model).union(_scanned(docs.where(giant), model, chunk))
+
+
+def decode_pieces(encoded: DataFrame, model: str | None = None) -> DataFrame:
+    """doc_id and text of every row of doc_id and ids, one row's ids at a time."""
+    model = model or default_model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(model)
+        for batch in batches:
+            texts = [unmarked(lattice.decode(ids.as_py() or [])) for ids in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -88,6 +88,21 @@ def test_pieces_chunked_in_spark(spark, docs):
     assert {k: (v.n_pieces, v.decoded) for k, v in cut.items()} == {k: (v.n_pieces, True) for k, v in whole.items()}
 
 
+def test_pieces_keep_ids_and_decode(spark, docs):
+    """Stored ids equal the library's whether or not texts are cut, and decode to the given texts."""
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=sentence_pieces.default_model())
+    texts = dict(docs[:20]) | {-1: "", -2: None, -3: "漢字 é😀 " * 200, -4: "a\u2581b " * 200}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    made = [sentence_pieces.encode_pieces(rows, chunk=c) for c in (300, sentence_pieces.CHUNK)]
+    cut, whole = ({r.doc_id: r for r in m.collect()} for m in made)
+    assert cut == whole and {i: r.ids for i, r in cut.items()} == {i: library.encode(t or "") for i, t in texts.items()}
+    assert {i for i, r in cut.items() if not r.decoded} == {-4}
+    back = {r.doc_id: r.text for r in sentence_pieces.decode_pieces(made[0]).collect()}
+    assert back == {i: (t or "").replace("\u2581", " ") for i, t in texts.items()}
+
+
 def test_bounds_of_rules():
     for k, n in ((0, 100), (3, 50), (10, 1000)):
         p = quality_rules.upper_bound(k, n, 0.05)
