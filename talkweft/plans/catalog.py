@@ -297,6 +297,13 @@ def top_candidates(df: DataFrame) -> DataFrame:
     return df.select("vec_id", F.array_join(F.transform(best, lambda p: p["index"].cast("string")), ",").alias("best"))
 
 
+@query("embeddings", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS s FROM embeddings), u AS (SELECT vec_id, unnest(s) AS v, generate_subscripts(s, 1) AS i FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS n FROM u)
+SELECT vec_id, string_agg((i - 1)::VARCHAR, ',' ORDER BY n) AS best FROM r WHERE n <= 3 GROUP BY 1""")
+def top_candidates_whole(df: DataFrame) -> DataFrame:
+    best = T.top_k(F.col("embedding").cast("array<double>"), 3)
+    return df.select("vec_id", F.array_join(F.transform(best, lambda p: p["index"].cast("string")), ",").alias("best"))
+
+
 # Tool-call predictions, made from conversation turns in eight kinds
 
 CALL = '<tool_call>{"name":"%s","arguments":%s}</tool_call>'

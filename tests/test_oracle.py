@@ -44,3 +44,11 @@ def test_query_equals_sql(spark, db, name):
 
 def test_every_query_has_sql():
     assert set(catalog.queries()) == set(catalog.oracle_sql())
+
+
+def test_top_candidates_of_whole_vectors(spark, db):
+    """The three largest of all 64 entries, in plain Python."""
+    vectors = dict(db.execute("SELECT vec_id, embedding FROM embeddings").fetchall())
+    want = {i: ",".join(map(str, sorted(range(len(v)), key=lambda k: (-v[k], k))[:3])) for i, v in vectors.items()}
+    assert {len(v) for v in vectors.values()} == {64}
+    assert {r.vec_id: r.best for r in catalog.queries()["top_candidates_whole"](spark, DATA).collect()} == want
