@@ -20,12 +20,17 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches
 
+# A private key runs to its END line: base64 lines, PEM headers, line breaks also as written in JSON. Without an END
+# line it runs over the full base64 lines. A body has no two hyphens in a row, so it can't go on into the next key.
+KEY_BEGIN, KEY_END = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----END [A-Z ]*PRIVATE KEY-----"
+KEY_BODY, KEY_BREAK = r"([A-Za-z0-9+/=:,.\\\x20\x09\x0a\x0d]|-[A-Za-z0-9])", r"(\x0d?\x0a|\\n)"
+
 # (kind, regex, least length of the counted tail, bytes of that tail). The first three kinds are the base.
 RULES: list[tuple[str, str, int, str]] = [
     ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 8, "value"),
     ("access", r"AKIA[A-Z0-9]+", 16, ""),
     ("hex", r"[0-9a-f]{32,}", 32, ""),
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, ""),
+    ("private_key", KEY_BEGIN + f"({KEY_BODY}*{KEY_END}|({KEY_BREAK}[A-Za-z0-9+/=]{{40,}})*)", 0, ""),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40, ""),
     ("forge_token", r"gh[oprsu]_[A-Za-z0-9]+", 40, ""),
     ("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 15, ""),

@@ -107,3 +107,18 @@ def test_urls_are_judged_by_documents(spark):
     assert len(got) == 602 and [got[i].verdict for i in (3, 2001, 300, 1000, 2000)] == ["block", "block", "allow", "block", "allow"]
     assert got[2000].purity >= url_filter.PURITY and got[2000].rule is None
     assert {r.verdict for r in url_filter.filter_urls(pages).where("rule IS NULL").collect()} == {"allow"}
+
+
+def test_whole_private_keys_go(spark):
+    """Header, body and END line of a key are one span; text around it and between two keys stays."""
+    lines = ["MIIEpAIBAAKCAQEA" + "aB3+/x9Z" * 6] * 12 + ["q7Rw=="]
+    heads = {"RSA ": "", "": "", "ENCRYPTED ": "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"}
+    keys = [f"-----BEGIN {k}PRIVATE KEY-----\n{h}" + "\n".join(lines) + f"\n-----END {k}PRIVATE KEY-----" for k, h in heads.items()]
+    keys += [keys[0].replace("\n", "\r\n"), keys[1].replace("\n", "\\n")]
+    texts = [f"é before\n{k}\nafter" for k in keys] + [f"{keys[0]}\nbetween\n{keys[1]}", keys[0].partition("\nq7Rw")[0] + "\nThe rest.", "-----BEGIN PRIVATE KEY----- is a header, and -----END PRIVATE KEY----- (alone) ends one", "-----BEGIN PRIVATE KEY-----\nplain words follow"]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.text for r in secret_scan.redact_secrets(rows).orderBy("doc_id").collect()]
+    assert got[:5] == ["é before\n[private_key]\nafter"] * 5
+    assert got[5:7] == ["[private_key]\nbetween\n[private_key]", "[private_key]\nThe rest."]
+    assert got[7].endswith(" (alone) ends one") and got[8] == "[private_key]\nplain words follow"
+    assert [r.spans for r in secret_scan.scan_secrets(rows.where("doc_id = 0")).collect()][0].endswith(f"private_key:9:{9 + len(keys[0])}")
