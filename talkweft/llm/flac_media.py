@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -423,6 +424,12 @@ def encode_flac(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_bytes long, media binary")
 
 
+def blocks_of(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """The PCM blocks of a stream's samples with their offsets."""
+    for a in range(0, len(data), PCM_BLOCK):
+        yield a, data[a : a + PCM_BLOCK]
+
+
 def decode_flac(media: DataFrame) -> DataFrame:
     """PCM blocks: doc_id, sample_offset, n_samples, pcm (unsigned 8-bit), in order of offsets within a stream."""
 
@@ -432,11 +439,9 @@ def decode_flac(media: DataFrame) -> DataFrame:
         def work(x: dict) -> dict:
             out: dict[str, list] = {"doc_id": [], "sample_offset": [], "n_samples": [], "pcm": []}
             for doc_id, data in zip(x["doc_id"], decode_many(x["media"], tables), strict=True):
-                for a in range(0, len(data), PCM_BLOCK):
-                    out["doc_id"].append(doc_id)
-                    out["sample_offset"].append(a)
-                    out["pcm"].append(data[a : a + PCM_BLOCK])
-                    out["n_samples"].append(len(out["pcm"][-1]))
+                for a, block in blocks_of(data):
+                    for k, v in zip(out, (doc_id, a, len(block), block), strict=True):
+                        out[k].append(v)
             return out
 
         return work
@@ -445,7 +450,7 @@ def decode_flac(media: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Decode every stream and describe its samples: mean, energy, zero crossings and peak."""
+    """Decode every stream and describe the samples of its PCM blocks, those of decode_flac: mean, energy, zero crossings and peak."""
 
     def make():
         tables = crc8_table(), crc16_table()
@@ -454,11 +459,17 @@ def media_features(media: DataFrame) -> DataFrame:
             names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
             out: dict[str, list] = {k: [] for k in names}
             for m, data in zip(x["media"], decode_many(x["media"], tables), strict=True):
-                s = (np.frombuffer(data, np.uint8) ^ 128).view(np.int8)
-                wide = s.astype(np.int64)
-                crossings = int(np.count_nonzero(s[1:] & -128 != s[:-1] & -128))
-                feature = f"sum={int(wide.sum())};energy={int((wide * wide).sum())};crossings={crossings};low={int(s.min())};high={int(s.max())}"
-                row = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature)
+                size, total, energy, crossings, low, high, tail, sha, last = 0, 0, 0, 0, 127, -128, b"", hashlib.sha256(), None
+                for _, block in blocks_of(data):
+                    s = (np.frombuffer(block, np.uint8) ^ 128).view(np.int8)
+                    wide = s.astype(np.int64)
+                    size, total, energy = size + len(block), total + int(wide.sum()), energy + int((wide * wide).sum())
+                    crossings += int(np.count_nonzero(s[1:] & -128 != s[:-1] & -128)) + (last is not None and (last < 0) != (int(s[0]) < 0))
+                    low, high, last = min(low, int(s.min())), max(high, int(s.max())), int(s[-1])
+                    tail = (tail + block[-32:])[-32:]
+                    sha.update(block)
+                feature = f"sum={total};energy={energy};crossings={crossings};low={low};high={high}"
+                row = (size, sha.hexdigest(), zlib.crc32(tail), len(m), hashlib.sha256(m).hexdigest(), feature)
                 for k, v in zip(names, row, strict=True):
                     out[k].append(v)
             return {"doc_id": x["doc_id"], "n_bytes": x["n_bytes"]} | out

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .best_fit import pack_corpus
+from .common import written
 from .flac_media import encode_flac, media_features
 from .line_crf import classify
 from .near_dup import near_duplicates
@@ -31,7 +32,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(encode_flac(_table(spark, sf_dir, "documents")))
+    return media_features(written(encode_flac(_table(spark, sf_dir, "documents")), "flac-media"))
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,3 +247,22 @@ def test_near_duplicates(spark, docs, stars, monkeypatch):
                 up[high] = low
     got = {r.doc_id: r for r in queries.op9_near_dup(spark, DATA).collect()}
     assert {i: (r.component_id, r.n_shingles) for i, r in got.items()} == {i: (top(i), len(sets[i])) for i in sets}
+
+
+def test_flac_media_is_stored_and_seekable(spark):
+    """op3 reads media that was written; a block's bytes are the payload's at its offset; features of blocks are the whole's."""
+    import hashlib
+
+    assert any("flac-media" in f for f in queries.op3_flac(spark, DATA).inputFiles())
+    texts = {1: "", 2: "short", 3: "é word " * 30_000, 4: "x" * flac_media.PCM_BLOCK}
+    media = flac_media.encode_flac(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    payloads, blocks = {i: flac_media.payload_of(t)[1] for i, t in texts.items()}, flac_media.decode_flac(media).collect()
+    for i, data in payloads.items():
+        own = [b for b in blocks if b.doc_id == i]
+        assert [b.sample_offset for b in own] == list(range(0, len(data), flac_media.PCM_BLOCK))
+        assert all(bytes(b.pcm) == data[b.sample_offset : b.sample_offset + b.n_samples] for b in own) and sum(b.n_samples for b in own) == len(data)
+    for r in flac_media.media_features(media).collect():
+        data = payloads[r.doc_id]
+        s = (np.frombuffer(data, np.uint8) ^ 128).view(np.int8).astype(int)
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
+        assert r.feature == f"sum={s.sum()};energy={(s * s).sum()};crossings={np.count_nonzero((s[1:] < 0) != (s[:-1] < 0))};low={s.min()};high={s.max()}"
