@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +22,15 @@ import talkweft
 cloudpickle.register_pickle_by_value(talkweft)
 
 BROADCAST_ROWS = 1_000_000  # 8-byte ids: 8 MB at most are broadcast; more take a shuffled join
+SLICE_BYTES = 4 << 20  # texts of an Arrow batch that are Python objects at a time (one text at least)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset (tests), under a temporary one."""
+    """A new folder under ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="talkweft-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -35,7 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here, and a lost executor costs nothing."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._talkweft_path = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Remove the folder of a written() table that no plan will read again."""
+    jvm, path = table.sparkSession._jvm, table._talkweft_path
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -49,8 +64,31 @@ def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> Da
     return docs.join(ids, key, how)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch whose strings and binaries stay within SLICE_BYTES together, or single rows."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + SLICE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def release() -> None:
+    """Give memory that a task freed back to the system: Python workers live on after it, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
-    """Arrow map. ``make`` runs once a task and gives a function of column lists that returns column lists."""
+    """Arrow map. ``make`` runs once a task and gives a function of column lists, some MB at a time, that returns column lists."""
     from pyspark.sql.types import StructType
 
     names = StructType.fromDDL(schema).names
@@ -58,15 +96,37 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole):
                 out = work({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 if out[names[0]] is not None and len(out[names[0]]):
                     yield pa.RecordBatch.from_arrays([pa.array(out[n], fields.field(n).type) for n in names], schema=fields)
+        del work
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, make: Callable[[], Callable[..., list[bool]]], reads: list[str]) -> DataFrame:
+    """The rows of ``df`` for which the function that ``make`` gives, called with the lists of columns ``reads``, says True.
+
+    Only those columns become Python objects; rows pass as Arrow.
+    """
+    at = [df.columns.index(c) for c in reads]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for whole in batches:
+            for batch in slices(whole):
+                kept = batch.filter(pa.array(work(*(batch.column(i).to_pylist() for i in at)), pa.bool_()))
+                if kept.num_rows:
+                    yield kept
+        del work
+        release()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import filter_batches, map_batches
 
 TRAIN_DOCS, TRAIN_CHARS = 1200, 200_000
 STEPS, RATE, RIDGE = 150, 0.08, 1e-3
@@ -193,10 +193,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
 
     def make():
-        def work(x: dict) -> dict:
-            keep = [s >= THRESHOLD for s in scores_of(x["text"], model)]
-            return {k: [v for v, ok in zip(x[k], keep, strict=True) if ok] for k in cols}
-
-        return work
+        return lambda texts: [s >= THRESHOLD for s in scores_of(texts, model)]
 
-    return map_batches(docs.select(*cols), make, "doc_id long, text string, lang string, source string, n_chars long")
+    return filter_batches(docs.select(*cols), make, ["text"])

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, _arrow_schema, by_ids, map_batches, shuffle_partitions, written
+from .common import BROADCAST_ROWS, _arrow_schema, by_ids, forget, map_batches, release, shuffle_partitions, slices, written
 
 SHINGLE, SHARE = 2, 80  # words a shingle; hundredths of the union that a link needs in common
 COORDS, MATCHES, BAND = 64, 38, 4
@@ -43,7 +43,7 @@ CELLS = 1 << 18  # counters of coordinate-value pairs: a table of fixed size
 LIST = 1500
 SKETCH, SLACK = 256, 4.3  # least hashes of a set for a closer look; standard deviations below the share that pass
 BLOCK = 500  # classes of a component that a task holds at once
-WORDS = 500_000
+WORDS = 200_000
 SET_SCHEMA = "doc_id long, n_shingles long, digest binary, sig binary"
 
 
@@ -175,7 +175,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "edges")
+        last, edges = edges, written(small, "edges")
+        forget(last)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
@@ -323,6 +324,7 @@ def _joined(known: DataFrame, share: int) -> DataFrame:
             yield from emit(found)
         if held is not None and len(held[0]) > 1:
             yield from emit([meet(held[3:])])
+        release()
 
     return dealt.select("pair", "i", "j", *rest).mapInArrow(run, "x long, comp long").distinct()
 
@@ -382,7 +384,7 @@ def _confirmed_against(wanted: DataFrame, known: DataFrame, docs: DataFrame, wid
     def run(batches):
         key, ids, counts, sigs, sets = None, [], [], [], []
         table: tuple | None = None
-        for batch in batches:
+        for batch in (s for whole in batches for s in slices(whole)):
             found: list[tuple[int, int]] = []
             for comp, m, p, side, rep, n, sig, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (comp, m, p) != key:
@@ -408,6 +410,7 @@ def _confirmed_against(wanted: DataFrame, known: DataFrame, docs: DataFrame, wid
                         break
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
+        release()
 
     return dealt.select("comp", "m", "p", "side", "rep", "n", "sig", "text").mapInArrow(run, "a long, b long")
 

@@ -27,7 +27,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, map_batches, written
+from .common import by_ids, filter_batches, map_batches, written
 
 ALPHA, DELTA, PENALTY, STRATA = 0.02, 0.05, 10.0, 64
 GRID = 64
@@ -247,15 +247,15 @@ def keep_by_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
         named = {s for s in cutoffs if s != OTHER}
         none = [GRID] * len(MEASURES)
 
-        def work(x: dict) -> dict:
+        def work(texts: list, langs: list) -> list[bool]:
             keep = []
-            for text, lang in zip(x["text"], x["lang"], strict=True):
+            for text, lang in zip(texts, langs, strict=True):
                 *_, failed, bins = measures(text)
                 s = NONE if lang is None else lang
                 cuts = cutoffs.get(s if s in named else OTHER, none)
                 keep.append(not failed and all(b < c for b, c in zip(bins, cuts, strict=True)))
-            return {k: [v for v, ok in zip(x[k], keep, strict=True) if ok] for k in cols}
+            return keep
 
         return work
 
-    return map_batches(docs.select(*cols), make, "doc_id long, text string, lang string, source string, n_chars long")
+    return filter_batches(docs.select(*cols), make, ["text", "lang"])

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import get_file, map_batches, put_file, shared_folder, shuffle_partitions, written
+from .common import get_file, map_batches, put_file, release, shared_folder, shuffle_partitions, slices, written
 from .tokens import WordCache, default_vocabulary, ids_of
 
 END_ID = 1
@@ -65,7 +65,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = E
 
         def parts():
             nonlocal tokens
-            for batch in batches:
+            for batch in (s for whole in batches for s in slices(whole)):
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     ids = np.append(ids_of(text, cache), np.uint32(end_id))
                     tokens += len(ids)
@@ -81,6 +81,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = E
             ends = list(accumulate(index))
             put_file(folder, f"part-{part:05d}.idx", [np.column_stack([np.array(ends) - index, index]).astype("<u8").tobytes()])
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "records": [len(index)], "tokens": [tokens], "bytes": [size]})
+        release()
 
     return written(ordered.mapInArrow(run, "part long, path string, records long, tokens long, bytes long"), "record-manifest")
 
