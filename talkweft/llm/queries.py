@@ -11,6 +11,7 @@ from .common import written
 from .flac_media import encode_flac, media_features
 from .line_crf import classify
 from .near_dup import near_duplicates
+from .oracles import oracle_sql
 from .quality_rules import quality_verdicts
 from .secret_scan import scan_secrets
 from .sentence_pieces import encode_pieces
@@ -19,6 +20,9 @@ from .url_filter import filter_urls
 from .warc_archive import archive_pages
 
 
+__all__ = ["oracle_sql", "queries"]
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,7 +48,7 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_pages(_table(spark, sf_dir, "pages"))
+    return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +69,3 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_best_fit, op2_secrets, op3_flac, op4_pieces, op5_rules, op6_warc, op7_line_crf, op8_urls, op9_near_dup, op10_records)}
-
-
-def oracle_sql() -> dict[str, str]:
-    """None: spans, stored bytes, labelled cutoffs, learnt scores and trees aren't SQL's; tests use brute force."""
-    return {}

@@ -1,18 +1,23 @@
 """URL filter: fixed rules, and a path-template tree that learns from labelled urls.
 
-The tree is kept per host as counts of path prefixes, built level by level with grouped sums. A segment is
-generalised to ``*`` by its shape (digits, hex, long mixed codes) or, where a prefix has more than CHILDREN
-different children, by their number. Branches of one parent whose labelled shares differ no more than chance
-(two-proportion z under MERGE_Z against their parent's) are merged into the parent's pooled branch. A template
-is rejected when its purity, the labelled bad share smoothed by its host's and that by all hosts', reaches
-PURITY, and only where it or its parent has labelled urls: a host's share alone rejects nothing. A url is
-labelled by the document it shows, whose doc_id is the number that ends its path: bad is quality 0 or toxic 1.
-The fixed rules' verdicts are no labels, since they say nothing of the urls that no rule decides. Urls are pre-aggregated to templates before any shuffle of theirs, so a hot host is a few rows.
+A host's tree is built level by level from counts of path prefixes. A segment is generalised to ``*`` by its shape
+(digits, hex, long mixed codes); where a prefix has more than CHILDREN different branches, all of them are; and so
+is a branch whose labelled share differs from that of its siblings together by no more than chance (two-proportion
+z under MERGE_Z, MIN_OWN labelled urls on both sides). Branches that become ``*`` are one branch from there on, and
+the next level is built below them. What lies deeper than DEPTH segments is one wildcard.
+
+A url is judged by the deepest node on its way that has MIN_OWN labelled urls of its own. The node is rejected when
+the lower bound (LOWER_Z standard errors) of its purity, the labelled bad share smoothed by its host's and that by
+all hosts', reaches PURITY. A host's share alone rejects nothing: without such a node a url is allowed, and its
+purity is its host's. A url is labelled by the document it shows, whose doc_id is the number that ends its path: bad
+is quality 0 or toxic 1. The fixed rules' verdicts are no labels, since they say nothing of the urls that no rule
+decides. Urls are pre-aggregated to templates before any shuffle of theirs, so a hot host is a few rows.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, no rule, and is judged by the
-template of the empty host, which has no labels and is allowed; an empty path has depth 0; ties of rules go to
-the longer rule text, then the smaller; repeated rows get equal verdicts; without labels nothing is rejected;
-of repeated labels of a document the bad one holds; labels of null ids or without any mark are ignored.
+template of the empty host; an empty path has depth 0; very long segments of letters are kept whole; ties of rules
+go to the longer rule text, then the smaller; repeated rows get equal verdicts; without labels nothing is rejected;
+of repeated labels of a document the bad one holds; labels of null ids or without any mark are ignored; an empty
+table gives no rows; other columns of the tables are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 DEPTH = 4  # segments of a template; what lies deeper is one wildcard
 CHILDREN = 64  # different children of a prefix, beyond which they are one wildcard
 MERGE_Z = 2.0
+MIN_OWN = 5  # labelled urls that a node needs, to be merged or to judge
+LOWER_Z = 1.645
 PRIOR = 8.0  # labelled urls that a prior counts for
 PURITY = 0.9
 
@@ -56,51 +63,63 @@ def _shape(segment: Column) -> Column:
 
 
 NONE = "\u0001"  # stands for a segment that a path doesn't have
-SEGMENTS = [f"s{i}" for i in range(DEPTH)]
-NODES = [f"t{i}" for i in range(DEPTH)]
+LEVELS = DEPTH + 1
+SEGMENTS = [f"s{i}" for i in range(LEVELS)]
+NODES = [f"t{i}" for i in range(LEVELS)]
 
 
 def _levels(path: Column) -> list[Column]:
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/", DEPTH + 1)
-    return [F.when((F.size(parts) > i) & (path != ""), _shape(F.get(parts, F.lit(i)))).otherwise(F.lit(NONE)) for i in range(DEPTH)]
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/", LEVELS)
+    own = [F.when((F.size(parts) > i) & (path != ""), _shape(F.get(parts, F.lit(i)))).otherwise(F.lit(NONE)) for i in range(DEPTH)]
+    return [*own, F.when(F.size(parts) > DEPTH, F.lit("*")).otherwise(F.lit(NONE))]
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast where its rows of a few short columns are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS // 10 else table
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """Path templates with counts: host, s0..s3 (as shaped), t0..t3 (generalised), n, bad, good.
+    """Path templates with counts: host, s0..s4 (as shaped), t0..t4 (generalised), bad, good.
 
     ``urls`` has host, path and bad (1 bad, 0 good, null unlabelled).
     """
     shaped = urls.select("host", "bad", *[c.alias(s) for c, s in zip(_levels(F.col("path")), SEGMENTS, strict=True)])
-    tree = shaped.groupBy("host", *SEGMENTS).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("bad") == 1).alias("bad"), F.count_if(F.col("bad") == 0).alias("good"))
+    tree = shaped.groupBy("host", *SEGMENTS).agg(F.count_if(F.col("bad") == 1).alias("bad"), F.count_if(F.col("bad") == 0).alias("good"))
     tree = written(tree, "templates")  # and after each level: the next reads it twice
-    for i in range(DEPTH):  # wildcards where a prefix has many children
-        prefix, s = ["host", *NODES[:i]], F.col(SEGMENTS[i])
-        many = tree.groupBy(*prefix).agg(F.approx_count_distinct(s, 0.02).alias("kids")).where(F.col("kids") > CHILDREN)
-        tree = tree.join(many, prefix, "left").withColumn(NODES[i], F.when(F.col("kids").isNull() | (s == NONE), s).otherwise(F.lit("*"))).drop("kids")
-        tree = written(tree, "templates")
+    for i, (s, t) in enumerate(zip(SEGMENTS, NODES, strict=True)):
+        prefix = ["host", *NODES[:i]]
+        branches = tree.where(F.col(s) != NONE).groupBy(*prefix, s).agg(F.sum("bad").alias("b"), F.sum(F.col("bad") + F.col("good")).alias("n"))
+        known = F.col("n") >= MIN_OWN
+        kin = branches.groupBy(*prefix).agg(F.count(F.lit(1)).alias("kids"), F.sum(F.when(known, F.col("b"))).alias("kb"), F.sum(F.when(known, F.col("n"))).alias("kn"))
+        rest, pooled = F.col("kn") - F.col("n"), F.try_divide(F.col("kb"), F.col("kn"))
+        gap = F.try_divide(F.col("b"), F.col("n")) - F.try_divide(F.col("kb") - F.col("b"), rest)
+        z = F.abs(gap) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.lit(1.0), rest)))
+        alike = known & (rest >= MIN_OWN) & (z < MERGE_Z)
+        wild = branches.join(kin, prefix).where((F.col("kids") > CHILDREN) | F.coalesce(alike, F.lit(False))).select(*prefix, s, F.lit("*").alias(t))
+        wild = _small(written(wild, "wildcards"))
+        tree = written(tree.join(wild, [*prefix, s], "left").withColumn(t, F.coalesce(t, s)), "templates")
     return tree
 
 
 def judged_templates(urls: DataFrame) -> DataFrame:
-    """host, s0..s3, the template they fall under, its purity and whether it is rejected."""
+    """host, s0..s4, the template they fall under, its purity and whether it is rejected."""
     tree = templates(urls)
-    node = tree.groupBy("host", *NODES).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    parent = node.groupBy("host", NODES[0]).agg(F.sum("bad").alias("p_bad"), F.sum("good").alias("p_good"))
-    host = parent.groupBy("host").agg(F.sum("p_bad").alias("h_bad"), F.sum("p_good").alias("h_good"))
-    bad_all, good_all = tree.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    everywhere = (bad_all + 0.5) / (bad_all + good_all + 1)
-    full = node.join(parent, ["host", NODES[0]]).join(host, "host")
-    n, pn = F.col("bad") + F.col("good"), F.col("p_bad") + F.col("p_good")
-    rest = pn - n
-    pooled = F.try_divide("p_bad", pn)
-    gap = F.try_divide(F.col("bad"), n) - F.try_divide(F.col("p_bad") - F.col("bad"), rest)
-    z = F.abs(gap) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), rest)))
-    merged = (n == 0) | (rest == 0) | (F.coalesce(z, F.lit(0.0)) < MERGE_Z)
-    bad, seen = F.when(merged, F.col("p_bad")).otherwise(F.col("bad")), F.when(merged, pn).otherwise(n)
-    at_host = (F.col("h_bad") + PRIOR * everywhere) / (F.col("h_bad") + F.col("h_good") + PRIOR)
-    nodes = full.select("host", *NODES, ((bad + PRIOR * at_host) / (seen + PRIOR)).alias("purity"), (seen > 0).alias("evidence"))
+    leaves = tree.groupBy("host", *NODES).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    leaves = written(leaves.withColumn("way", F.array(*[F.array_join(F.array(*NODES[: i + 1]), "/") for i in range(LEVELS)])), "leaves")
+    ways = leaves.select("host", "bad", "good", F.posexplode("way").alias("depth", "node"))
+    nodes = ways.groupBy("host", "depth", "node").agg(F.sum("bad").alias("bad"), F.sum(F.col("bad") + F.col("good")).alias("n")).where(F.col("n") >= MIN_OWN)
+    hosts = leaves.groupBy("host").agg(F.sum("bad").alias("h_bad"), F.sum(F.col("bad") + F.col("good")).alias("h_n"))
+    bad_all, n_all = hosts.agg(F.coalesce(F.sum("h_bad"), F.lit(0)), F.coalesce(F.sum("h_n"), F.lit(0))).first()
+    everywhere = (bad_all + 0.5) / (n_all + 1)
+    best = leaves.select("host", F.col("way")[LEVELS - 1].alias("leaf"), F.posexplode("way").alias("depth", "node")).join(nodes, ["host", "depth", "node"]).groupBy("host", "leaf").agg(F.max_by(F.struct("bad", "n"), "depth").alias("own"))
+    full = leaves.select("host", *NODES, F.col("way")[LEVELS - 1].alias("leaf")).join(best, ["host", "leaf"], "left").join(hosts, "host")
+    at_host = (F.col("h_bad") + PRIOR * everywhere) / (F.col("h_n") + PRIOR)
+    seen = F.coalesce(F.col("own.n"), F.lit(0))
+    purity = F.when(seen > 0, (F.col("own.bad") + PRIOR * at_host) / (seen + PRIOR)).otherwise(at_host)
+    rejected = (seen > 0) & (purity - LOWER_Z * F.sqrt(purity * (1 - purity) / (seen + PRIOR)) >= PURITY)
     template = F.concat(F.lit("/"), F.array_join(F.filter(F.array(*NODES), lambda t: t != NONE), "/"))
-    return tree.join(nodes, ["host", *NODES]).select("host", *SEGMENTS, template.alias("template"), "purity", ((F.col("purity") >= PURITY) & F.col("evidence")).alias("rejected"))
+    return tree.join(full.select("host", *NODES, template.alias("template"), purity.alias("purity"), rejected.alias("rejected")), ["host", *NODES]).select("host", *SEGMENTS, "template", "purity", "rejected")
 
 
 def document_of(path: Column) -> Column:
@@ -127,6 +146,6 @@ def filter_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None)
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.select("*", rule.alias("rule"), said.alias("said"))
     urls = urls.select("*", *[c.alias(s) for c, s in zip(_levels(F.col("path")), SEGMENTS, strict=True)])
-    judged = judged_templates(labelled(urls, labels))
+    judged = _small(written(judged_templates(labelled(urls, labels)), "judged"))
     method = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
     return urls.join(judged, ["host", *SEGMENTS], "left").select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
