@@ -116,3 +116,10 @@ def positive_weights(df: DataFrame, labels: list[str], most: float) -> DataFrame
     n = F.count(F.lit(1))
     cols = [F.greatest(F.lit(1.0), F.least(F.lit(most), (n - F.sum(c)) / F.greatest(F.sum(c), F.lit(1)))).alias(c) for c in labels]
     return df.agg(*cols).unpivot([], labels, "label", "weight")
+
+
+def two_pass(alone: Column, with_previous: Column, points_back: Column, threshold: float) -> list[Column]:
+    """score, accepted and used_context: the turn by itself, then with the one before it where that fails and the turn points back."""
+    again = (alone < threshold) & points_back
+    score = F.when(again, with_previous).otherwise(alone)
+    return [score.alias("score"), (score >= threshold).alias("accepted"), again.alias("used_context")]

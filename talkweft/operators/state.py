@@ -55,8 +55,8 @@ def replayed(calls: Column, cards: Column, transfers: Column) -> Column:
     """Cards and transfers after a list of calls (name, selector); a null selector takes the first row."""
 
     def first(rows: Column, field: str, selector: Column) -> Column:
-        hits = F.transform(rows, lambda r: selector.isNull() | (norm_spaces(r[field]) == norm_spaces(selector)))
-        return F.array_position(hits, True)
+        same = (lambda r: r[field] == selector) if field == "last4" else (lambda r: norm_spaces(r[field]) == norm_spaces(selector))
+        return F.array_position(F.transform(rows, lambda r: selector.isNull() | F.coalesce(same(r), F.lit(False))), True)
 
     def with_status(rows: Column, field: str, at: Column, status: str) -> Column:
         return F.transform(rows, lambda r, i: F.struct(r[field].alias(field), F.when(i + 1 == at, F.lit(status)).otherwise(r["status"]).alias("status")))

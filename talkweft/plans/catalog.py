@@ -308,8 +308,8 @@ def top_candidates_whole(df: DataFrame) -> DataFrame:
 
 CALL = '<tool_call>{"name":"%s","arguments":%s}</tool_call>'
 LIST, FREEZE = CALL % ("list_cards", "{}"), CALL % ("freeze_card", '{"last4": "4821"}')
-RAW = [LIST, LIST + "\n" + FREEZE, FREEZE + LIST, "<tool_call>{'name': oops}</tool_call>", CALL % ("get_account_balance", '{"account_id":"a1"}'), "Branches open at nine. Ask in our app.", "I can help with Retail  Banking only.", "Please tell me your PIN. " + LIST]
-EXPECTED = [[("list_cards", "{}")], [("list_cards", "{}"), ("freeze_card", '{"last4":"4821"}')], [("list_cards", "{}"), ("freeze_card", '{"last4":"4821"}')], [("list_cards", "{}")], [("get_account_balance", "{}")], [], [], []]
+RAW = [LIST, LIST + "\n" + FREEZE, FREEZE + LIST, "<tool_call>{'name': oops}</tool_call>", CALL % ("list_accounts", '{"account_id":"a1"}'), "Branches open at nine. Ask in our app.", "I can help with Retail  Banking only.", "Please tell me your PIN. " + LIST]
+EXPECTED = [[("list_cards", "{}")], [("list_cards", "{}"), ("freeze_card", '{"last4":"4821"}')], [("list_cards", "{}"), ("freeze_card", '{"last4":"4821"}')], [("list_cards", "{}")], [("list_accounts", "{}")], [], [], []]
 
 
 def _predictions(df: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ def _predictions(df: DataFrame) -> DataFrame:
 KIND = "(SELECT conv_id || '-' || turn AS record_id, (conv_id + turn) % 8 AS k FROM conversations)"
 
 
-@query("conversations", f"SELECT record_id, CASE k WHEN 3 THEN 'tool call is not valid JSON' END AS failure, (CASE WHEN k IN (0, 4, 7) THEN 1 WHEN k IN (1, 2) THEN 2 ELSE 0 END)::INT AS n_calls, CASE k WHEN 0 THEN 'list_cards' WHEN 1 THEN 'list_cards,freeze_card' WHEN 2 THEN 'freeze_card,list_cards' WHEN 4 THEN 'get_account_balance' WHEN 7 THEN 'list_cards' ELSE '' END AS names FROM {KIND}")
+@query("conversations", f"SELECT record_id, CASE k WHEN 3 THEN 'tool call is not valid JSON' END AS failure, (CASE WHEN k IN (0, 4, 7) THEN 1 WHEN k IN (1, 2) THEN 2 ELSE 0 END)::INT AS n_calls, CASE k WHEN 0 THEN 'list_cards' WHEN 1 THEN 'list_cards,freeze_card' WHEN 2 THEN 'freeze_card,list_cards' WHEN 4 THEN 'list_accounts' WHEN 7 THEN 'list_cards' ELSE '' END AS names FROM {KIND}")
 def parsed_predictions(df: DataFrame) -> DataFrame:
     rows = K.parsed(_predictions(df))
     return rows.select("record_id", "failure", F.size("calls").alias("n_calls"), F.array_join(F.transform("calls", lambda c: c["name"]), ",").alias("names"))
@@ -423,3 +423,7 @@ PATHS = "[" + ", ".join(f"'{p}'" for p, k in R.TEMPLATE_PATHS.items() for _ in r
 @query("", f"SELECT i AS row_id, i % 27 AS template_no, i // 27 AS occurrence, {PATHS}[i % 27 + 1] AS path, i // 27 // 3 AS state_seed, i // 27 % 3 AS realization, (1000 + (i // 27 // 3 + 997) % 9000)::VARCHAR AS card_last4 FROM range(9000) r(i)")
 def generated_slots(spark: SparkSession, d: str) -> DataFrame:
     return R.generated_slots(spark, 9000)
+
+
+from . import evaluated as _evaluated  # noqa: E402, F401  (these register their queries)
+from . import measured as _measured  # noqa: E402, F401
