@@ -70,16 +70,13 @@ def replayed(calls: Column, cards: Column, transfers: Column) -> Column:
     return F.aggregate(calls, F.struct(cards.alias("cards"), transfers.alias("transfers")), step)
 
 
-# How many templates each path has, in template order.
-TEMPLATE_PATHS = {"tool_success": 9, "faq": 5, "multi_turn": 5, "conversation": 3, "tool_error": 2, "clarification": 1, "hard_negative": 1, "ood": 1}
-
-
 def generated_slots(spark, n: int) -> DataFrame:
     """Row i uses template i mod 27; its occurrence gives the state seed and the wording; card digits come from the seed."""
-    paths = [p for p, k in TEMPLATE_PATHS.items() for _ in range(k)]
-    m = len(paths)
+    from .generator import TEMPLATES
+
+    m = len(TEMPLATES)
     rows = spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") % m).alias("template_no"), F.floor(F.col("id") / m).alias("occurrence"))
-    path = F.element_at(F.array(*[F.lit(p) for p in paths]), (F.col("template_no") + 1).cast("int"))
+    path = F.element_at(F.array(*[F.lit("faq" if t[3] == "no_tool_banking_faq" else t[3]) for t in TEMPLATES]), (F.col("template_no") + 1).cast("int"))
     rows = rows.select("*", path.alias("path"), F.floor(F.col("occurrence") / 3).alias("state_seed"), (F.col("occurrence") % 3).alias("realization"))
     return rows.withColumn("card_last4", last4(F.col("state_seed"), 1))
 

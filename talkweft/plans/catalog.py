@@ -417,7 +417,8 @@ def replayed_state(df: DataFrame) -> DataFrame:
     return out.select("record_id", said(F.col("s.cards")).alias("cards"), said(F.col("s.transfers")).alias("transfers"))
 
 
-PATHS = "[" + ", ".join(f"'{p}'" for p, k in R.TEMPLATE_PATHS.items() for _ in range(k)) + "]"
+# By hand, in the templates' order.
+PATHS = "(list_resize([]::VARCHAR[], 9, 'tool_success') || list_resize([]::VARCHAR[], 4, 'multi_turn') || ['clarification', 'faq', 'faq', 'faq', 'faq', 'faq', 'conversation', 'conversation', 'conversation', 'ood', 'hard_negative', 'tool_error', 'tool_error', 'multi_turn'])"
 
 
 @query("", f"SELECT i AS row_id, i % 27 AS template_no, i // 27 AS occurrence, {PATHS}[i % 27 + 1] AS path, i // 27 // 3 AS state_seed, i // 27 % 3 AS realization, (1000 + (i // 27 // 3 + 997) % 9000)::VARCHAR AS card_last4 FROM range(9000) r(i)")
@@ -426,4 +427,5 @@ def generated_slots(spark: SparkSession, d: str) -> DataFrame:
 
 
 from . import evaluated as _evaluated  # noqa: E402, F401  (these register their queries)
+from . import generated as _generated  # noqa: E402, F401
 from . import measured as _measured  # noqa: E402, F401
