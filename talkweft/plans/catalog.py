@@ -429,3 +429,4 @@ def generated_slots(spark: SparkSession, d: str) -> DataFrame:
 from . import evaluated as _evaluated  # noqa: E402, F401  (these register their queries)
 from . import generated as _generated  # noqa: E402, F401
 from . import measured as _measured  # noqa: E402, F401
+from . import wired as _wired  # noqa: E402, F401
