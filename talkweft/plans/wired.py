@@ -81,7 +81,7 @@ _FAMILY = "CASE conv_id % 4 WHEN 0 THEN 'read_cards' WHEN 1 THEN 'faq_mortgage'
 @query("conversations", rf"""WITH {VISIBLE}, {CURRENT},
 h AS (SELECT conv_id, CASE WHEN conv_id % 6 = 0 THEN 'When was that created?' ELSE current END AS current, EXISTS (SELECT 1 FROM vis v WHERE v.conv_id = cur.conv_id AND v.turn < ct) AS hist FROM cur),
 w AS (SELECT *, list_distinct(list_filter(string_split({NORM_B.replace('text', 'current')}, ' '), lambda x: x <> '')) AS w, {_PATH_SQL}[conv_id % 7 + 1] AS path, {_FAMILY} AS family, CASE WHEN conv_id % 5 = 0 THEN 'freeze_card' ELSE '' END AS tool FROM h),
-r AS (SELECT *, lower(family || ' ' || current || ' ' || tool) AS t, hist AND (len(w) <= 6 OR list_has_any(w, ['it','that','this','those','them','one','again','there'])) AS a, list_has_any(w, ['no','not','wrong','instead','asked']) AS b, hist AND list_has_any(w, ['yes','yeah','yep','4821','that','one']) AND len(w) <= 6 AS c FROM w WHERE array_to_string(w, ' ') <> 'when was that created')
+r AS (SELECT *, lower(family || ' ' || current || ' ' || tool) AS t, hist AND (len(w) <= 6 OR list_has_any(w, ['it','that','this','those','them','one','again','there'])) AS a, list_has_any(w, ['no','not','wrong','instead','asked']) AS b, hist AND list_has_any(w, ['yes','yeah','yep','4821','that','one']) AND len(w) <= 6 AS c FROM w WHERE {NORM_B.replace('text', 'current')} <> 'when was that created')
 SELECT conv_id AS record_id, current || CASE conv_id % 3 WHEN 1 THEN ', please' WHEN 2 THEN ', thanks' ELSE '' END AS current_text, (path <> 'ood')::INT AS domain_label,
 CASE WHEN path NOT IN ('ood', 'hard_negative') THEN CASE WHEN contains(t, 'account') OR contains(t, 'balance') THEN 'accounts' WHEN contains(t, 'freeze_card') OR contains(t, 'replace_card') OR contains(t, 'stolen') THEN 'card_actions' WHEN contains(t, 'card') THEN 'cards' WHEN contains(t, 'transaction') OR contains(t, 'dispute') OR contains(t, 'purchase') THEN 'transactions' WHEN contains(t, 'transfer') THEN 'transfers' WHEN contains(t, 'case') OR contains(t, 'address') THEN 'service_cases' WHEN contains(t, 'faq') OR contains(t, 'mortgage') OR contains(t, 'open ') THEN 'faq' ELSE 'conversation' END END AS capability,
 a::INT || ',' || b::INT || ',' || c::INT || ',0' AS relation_labels, CASE WHEN b THEN 'agent_repair' WHEN c THEN 'clarification_answer' WHEN a THEN 'contextual_followup' WHEN hist THEN 'visible_multiturn' ELSE path END AS example_kind, CASE WHEN family = '' THEN path ELSE family || '|' || path END AS group_id FROM r""")
