@@ -1,14 +1,17 @@
 """FLAC media columns: store bytes as 8-bit mono FLAC, and decode FLAC into PCM blocks.
 
-Every frame holds 576 samples. The encoder takes the best of the fixed predictors of order 0, 1 and 2 with
-one Rice parameter a frame, or a verbatim subframe where that is shorter, and puts a seek point before each
-frame. The decoder checks the CRC-8 of each header, the CRC-16 of each frame and the MD5 of the samples.
-Frames with a fixed predictor and one Rice partition are decoded many at a time, one sample of every frame a
-step; any other mono frame (LPC, several partitions, escapes, wasted bits, constant) by a bit reader.
+Every frame holds 576 samples. The encoder takes the shortest of the fixed predictors of order 0, 1 and 2 and a linear
+predictor of order LPC_ORDER made for the frame, with one Rice parameter a frame, or a verbatim subframe where that is
+shorter. There is a seek point for every SEEK_FRAMES frames, and an application block with the size of each frame, so
+that any frame is found by its sample offset. The decoder checks the CRC-8 of each header, the CRC-16 of each frame and
+the MD5 of the samples. Such frames are decoded many at a time, one sample of every frame a step; any other mono frame
+(other orders, several partitions, escapes, wasted bits, constant) by a bit reader.
 
 Edge cases: null and empty texts are stored as one frame of bytes 255; equal texts give equal bytes; a
-damaged stream raises ``FlacError`` naming the check that failed. Frames are worked on in blocks of
-BLOCK_FRAMES, so a text of any length needs bounded scratch memory beside its own bytes.
+damaged stream raises ``FlacError`` naming the check that failed; repeated rows, ties and null doc_ids are rows like
+others; an empty table gives no rows; other columns are not read, so their names can't clash. Frames are worked on in
+blocks of BLOCK_FRAMES, and texts in slices of some MB, so scratch memory is bounded beside a text's own bytes and
+frames.
 """
 
 from __future__ import annotations
@@ -25,6 +28,10 @@ from .common import map_batches
 SAMPLES = 576
 BLOCK_FRAMES = 2048
 PCM_BLOCK = 576 * 114  # samples of one PCM block that decode_flac writes
+LPC_ORDER, LPC_BITS = 4, 8
+LPC_HEAD = 4 + 5 + LPC_ORDER * LPC_BITS  # bits of precision, shift and coefficients
+SEEK_FRAMES = 16  # a seek point for so many frames; SIZES has every frame's size
+SIZES = b"twfs"  # id of the application block that holds them
 
 
 class FlacError(ValueError):
@@ -80,26 +87,68 @@ def _header(number: int, crc8: list[int]) -> bytes:
     return h + bytes([c])
 
 
-def _bodies(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Subframes of samples [frames, 576]: all bytes in a row, and the size of each."""
-    n = len(x)
+def _residuals(x: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Residuals of a fixed predictor of order ``best`` (0 to 2) for each frame."""
     d1 = np.zeros_like(x)
     np.subtract(x[:, 1:], x[:, :-1], out=d1[:, 1:])
     d2 = np.zeros_like(x)
     np.subtract(d1[:, 2:], d1[:, 1:-1], out=d2[:, 2:])
-    best = np.argmin(np.stack([np.abs(r[:, 2:]).sum(1, dtype=np.int64) for r in (x, d1, d2)]), axis=0)
-    u = np.where((best == 0)[:, None], x, np.where((best == 1)[:, None], d1, d2)).astype(np.int32)
-    u = (u << 1) ^ (u >> 31)
-    warm = np.arange(SAMPLES) < best[:, None]
-    u[warm] = 0
-    count = SAMPLES - best
+    sums = [np.abs(r[:, 2:]).sum(1, dtype=np.int64) for r in (x, d1, d2)]
+    best[:] = np.argmin(np.stack(sums), axis=0)
+    return np.where((best == 0)[:, None], x, np.where((best == 1)[:, None], d1, d2)).astype(np.int32)
+
+
+def linear_predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised coefficients [frames, LPC_ORDER] and their shifts, by the Levinson-Durbin recursion on each frame's autocorrelation."""
+    f = x.astype(np.float64)
+    r = np.stack([(f[:, j:] * f[:, : SAMPLES - j]).sum(1) for j in range(LPC_ORDER + 1)], axis=1)
+    r[:, 0] += 1
+    a, error = np.zeros((len(x), LPC_ORDER)), r[:, 0].copy()
+    for i in range(LPC_ORDER):
+        k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(1)) / error
+        a[:, :i] -= k[:, None] * a[:, :i][:, ::-1].copy()
+        a[:, i] = k
+        error *= 1 - k * k
+    top = 1 << (LPC_BITS - 1)
+    shift = np.clip(LPC_BITS - 1 - np.ceil(np.log2(np.maximum(np.abs(a).max(1), 2.0**-9))), 0, 15).astype(np.int32)
+    return np.clip(np.rint(a * (1 << shift)[:, None]), -top, top - 1).astype(np.int32), shift
+
+
+def _predicted(x: np.ndarray, coef: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Residuals of linear prediction; the first LPC_ORDER are 0."""
+    wide = x.astype(np.int32)
+    out = np.zeros_like(wide)
+    said = sum(coef[:, j : j + 1] * wide[:, LPC_ORDER - 1 - j : SAMPLES - 1 - j] for j in range(LPC_ORDER))
+    out[:, LPC_ORDER:] = wide[:, LPC_ORDER:] - (said >> shift[:, None])
+    return out
+
+
+def _rice(r: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Folded residuals (warm-up ones 0), the parameter of each frame and the bits of its codes."""
+    u = (r << 1) ^ (r >> 31)
+    u[np.arange(SAMPLES) < order[:, None]] = 0
+    count = SAMPLES - order
     k = np.log2(np.maximum(u.sum(1) / count * 0.7, 1)).astype(np.int64)
     k = np.maximum(k, np.ceil(np.log2((u.max(1) + 1) / 32)).astype(np.int64))  # no unary run is over 31
     size = lambda k: (u >> k[:, None]).sum(1) + (1 + k) * count
     low, high = size(k), size(k + 1)
-    k, rice = np.where(high < low, k + 1, k), np.minimum(low, high)
-    plain = rice + 10 + 8 * best >= 8 * SAMPLES
-    n_bits = 8 + np.where(plain, 8 * SAMPLES, 8 * best + 10 + rice)
+    return u, np.where(high < low, k + 1, k), np.minimum(low, high)
+
+
+def _bodies(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Subframes of samples [frames, 576]: all bytes in a row, and the size of each."""
+    n = len(x)
+    best = np.zeros(n, np.int64)
+    u, k, rice = _rice(_residuals(x, best), best)
+    coef, shift = linear_predictors(x)
+    own_u, own_k, own_rice = _rice(_predicted(x, coef, shift), np.full(n, LPC_ORDER))
+    lpc = (own_rice + 8 * LPC_ORDER + LPC_HEAD < rice + 8 * best) & (own_k < 15)
+    u, k, rice = np.where(lpc[:, None], own_u, u), np.where(lpc, own_k, k), np.where(lpc, own_rice, rice)
+    best = np.where(lpc, LPC_ORDER, best)
+    head = 8 * best + LPC_HEAD * lpc  # bits between the type and the residuals
+    warm = np.arange(SAMPLES) < best[:, None]
+    plain = rice + 10 + head >= 8 * SAMPLES
+    n_bits = 8 + np.where(plain, 8 * SAMPLES, head + 10 + rice)
     n_bytes = (n_bits + 7) // 8
     at = 8 * np.concatenate([[0], np.cumsum(n_bytes)[:-1]])
     bits = np.zeros(int(n_bytes.sum()) * 8, np.uint8)
@@ -108,16 +157,22 @@ def _bodies(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for j in range(width):
             bits[pos + j] = value >> (width - 1 - j) & 1
 
-    put(at, np.where(plain, 2, (8 | best) << 1), 8)
+    put(at, np.where(plain, 2, np.where(lpc, 32 | (LPC_ORDER - 1), 8 | best) << 1), 8)
     if plain.any():
         put(at[plain][:, None] + 8 + 8 * np.arange(SAMPLES), x[plain].astype(np.int32) & 255, 8)
-    for order in (1, 2):
+    for order in (1, 2, LPC_ORDER):
         own = ~plain & (best == order)
         if own.any():
             put(at[own][:, None] + 8 + 8 * np.arange(order), x[own][:, :order].astype(np.int32) & 255, 8)
+    own = np.flatnonzero(lpc & ~plain)
+    if len(own):
+        place = at[own] + 8 + 8 * LPC_ORDER
+        put(place, np.full(len(own), LPC_BITS - 1), 4)
+        put(place + 4, shift[own], 5)
+        put(place[:, None] + 9 + LPC_BITS * np.arange(LPC_ORDER), coef[own] & ((1 << LPC_BITS) - 1), LPC_BITS)
     for kk in np.unique(k[~plain]):
         own = np.flatnonzero(~plain & (k == kk))
-        start = at[own] + 8 + 8 * best[own]
+        start = at[own] + 8 + head[own]
         put(start + 6, np.full(len(own), kk), 4)
         v = u[own]
         length = (v >> kk) + (1 + kk)
@@ -156,14 +211,15 @@ def encode_many(payloads: list[bytes], tables: tuple) -> list[bytes]:
         own = frames[at : at + c]
         at += c
         size = np.array([len(f) for f in own])
-        seek = np.zeros(c, dtype=[("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
-        seek["sample"] = np.arange(c) * SAMPLES
-        seek["offset"] = np.cumsum(size) - size
+        seek = np.zeros(-(-c // SEEK_FRAMES), dtype=[("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+        seek["sample"] = np.arange(0, c, SEEK_FRAMES) * SAMPLES
+        seek["offset"] = (np.cumsum(size) - size)[::SEEK_FRAMES]
         seek["n"] = SAMPLES
         signed = (np.frombuffer(p, np.uint8) ^ 128).tobytes()
         info = SAMPLES.to_bytes(2, "big") * 2 + int(size.min()).to_bytes(3, "big") + int(size.max()).to_bytes(3, "big") + (8000 << 44 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5(signed).digest()
-        points = [seek[i : i + 900_000].tobytes() for i in range(0, c, 900_000)]  # a metadata block holds 16 MB
-        meta = b"".join((3 | (128 if i == len(points) - 1 else 0)).to_bytes(1, "big") + len(t).to_bytes(3, "big") + t for i, t in enumerate(points))
+        blocks = [(3, seek[i : i + 900_000].tobytes()) for i in range(0, len(seek), 900_000)]  # a metadata block holds 16 MB
+        blocks += [(2, SIZES + size[i : i + 8_000_000].astype(">u2").tobytes()) for i in range(0, c, 8_000_000)]
+        meta = b"".join((kind | (128 if i == len(blocks) - 1 else 0)).to_bytes(1, "big") + len(t).to_bytes(3, "big") + t for i, (kind, t) in enumerate(blocks))
         out.append(b"".join([b"fLaC\x00\x00\x00\x22", info, meta, *own]))
     return out
 
@@ -172,7 +228,7 @@ def _frames_of(media: bytes) -> tuple[int, bytes, int, list[tuple[int, int]]]:
     """Total samples, MD5, bits a sample and the (start, end) of each frame."""
     if media[:4] != b"fLaC":
         raise FlacError("marker")
-    at, last, info, seek = 4, False, b"", []
+    at, last, info, seek, sizes = 4, False, b"", [], []
     while not last:
         kind, size = media[at], int.from_bytes(media[at + 1 : at + 4], "big")
         last, block = kind > 127, media[at + 4 : at + 4 + size]
@@ -180,6 +236,8 @@ def _frames_of(media: bytes) -> tuple[int, bytes, int, list[tuple[int, int]]]:
             info = block
         elif kind & 127 == 3:
             seek.append(np.frombuffer(block, dtype=[("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
+        elif kind & 127 == 2 and block[:4] == SIZES:
+            sizes.append(np.frombuffer(block[4:], ">u2"))
         at += 4 + size
     if len(info) < 34:
         raise FlacError("stream info")
@@ -187,6 +245,11 @@ def _frames_of(media: bytes) -> tuple[int, bytes, int, list[tuple[int, int]]]:
     total, depth = packed & (1 << 36) - 1, (packed >> 36 & 31) + 1
     if packed >> 41 & 7:
         raise FlacError("only mono streams are decoded")
+    if sizes:
+        ends = (at + np.cumsum(np.concatenate(sizes).astype(np.int64))).tolist()
+        if ends[-1] != len(media):
+            raise FlacError("frame sizes")
+        return total, info[18:34], depth, list(zip([at, *ends[:-1]], ends, strict=True))
     if seek:
         points = np.concatenate(seek)
         if int(points["n"].sum()) == total:  # a point for every frame
@@ -295,7 +358,7 @@ def _subframe(data: bytes, n: int, depth: int) -> list[int]:
 
 
 def _fast(buf: np.ndarray, at: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Samples [frames, 576] of subframes at byte ``at`` with a fixed predictor of order 0 to 2 and one partition.
+    """Samples [frames, 576] of subframes at byte ``at`` with one partition, and a fixed predictor of order 0 to 2 or LPC_ORDER linear ones.
 
     The second result marks frames that have a unary run of over 31 zeros, whose samples aren't right here.
     """
@@ -307,7 +370,8 @@ def _fast(buf: np.ndarray, at: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     for j in range(8):
         window[:, j] = b[j : j + size]
     window = window.view(">u8").ravel().astype(np.int64)  # 64 bits from each byte on
-    pos = 8 * (at + 1 + order) + 6
+    lpc = order == LPC_ORDER
+    pos = 8 * (at + 1 + order) + 6 + LPC_HEAD * lpc
     k = (window[pos >> 3] >> (60 - (pos & 7))) & 15
     pos = pos + 4
     mask = (1 << k) - 1
@@ -323,13 +387,13 @@ def _fast(buf: np.ndarray, at: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
         u = ((w >> (63 - zeros - k)) & mask) | (zeros << k)
         return u, p + zeros + 1 + k, zeros
 
-    for i in range(2):  # warm-up samples have no code
+    for i in range(LPC_ORDER):  # warm-up samples have no code
         own = np.flatnonzero(order <= i)
         out[i, own], pos[own], zeros = step(pos[own], k[own], mask[own])
         long[own] |= zeros > 31
     more = 1 + k
     shift = 63 - k
-    for i in range(2, SAMPLES):
+    for i in range(LPC_ORDER, SAMPLES):
         w = window[pos >> 3] << (pos & 7)
         high = (w >> 32) & top
         zeros = 1054 - (high.astype(np.float64).view(np.int64) >> 52)
@@ -340,7 +404,7 @@ def _fast(buf: np.ndarray, at: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
         out[i] = ((w >> (shift - zeros)) & mask) | (zeros << k)
         pos = pos + (zeros + more)
     out = (out >> 1) ^ -(out & 1)
-    for o in (0, 1):
+    for o in range(LPC_ORDER):
         own = order > o
         out[o, own] = buf[at[own] + 1 + o].view(np.int8)
     two = order == 2
@@ -352,15 +416,23 @@ def _fast(buf: np.ndarray, at: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     one = order == 1
     if one.any():
         out[:, one] = np.cumsum(out[:, one], axis=0)
+    if lpc.any():
+        x, w = out[:, lpc], window[at[lpc] + 1 + LPC_ORDER]
+        shift = (w >> 55 & 31).astype(np.int32)
+        coef = [(w >> (47 - 8 * j) & 255).astype(np.uint8).view(np.int8).astype(np.int32) for j in range(LPC_ORDER)]
+        for t in range(LPC_ORDER, SAMPLES):
+            said = coef[0] * x[t - 1]
+            for j in range(1, LPC_ORDER):
+                said += coef[j] * x[t - 1 - j]
+            x[t] += said >> shift
+        out[:, lpc] = x
     return out.T, long
 
 
-def decode_many(streams: list[bytes], tables: tuple) -> list[bytes]:
-    """The samples of each 8-bit mono stream as unsigned bytes."""
-    crc8, crc = tables
-    heads = [_frames_of(m) for m in streams]
-    frames = [(d, m[a:b]) for (_, _, d, where), m in zip(heads, streams, strict=True) for a, b in where]
+def _decoded(frames: list[tuple[int, bytes]], tables: tuple) -> list[bytes]:
+    """Samples of frames (bits a sample, bytes), checked one by one."""
     pcm: list[bytes] = []
+    crc8, crc = tables
     for a in range(0, len(frames), BLOCK_FRAMES):
         some = frames[a : a + BLOCK_FRAMES]
         joined = np.frombuffer(b"".join(f for _, f in some), np.uint8)
@@ -371,11 +443,16 @@ def decode_many(streams: list[bytes], tables: tuple) -> list[bytes]:
         opened = [_open(f, crc8) for _, f in some]
         at = starts + np.array([o[1] for o in opened])
         kind = joined[at] >> 1 & 63
-        order = kind.astype(np.int64) - 8
-        wide = np.concatenate([joined, np.zeros(8, np.uint8)])
+        linear = kind == 32 | (LPC_ORDER - 1)
+        order = np.where(linear, LPC_ORDER, kind.astype(np.int64) - 8)
+        wide = np.concatenate([joined, np.zeros(16, np.uint8)])
         at2 = at + 1 + np.clip(order, 0, 4)
         simple = np.array([o[0] == SAMPLES and d == 8 for o, (d, _) in zip(opened, some, strict=True)])
-        fast = simple & (order >= 0) & (order <= 2) & (joined[at] & 129 == 0) & (wide[at2] >> 2 == 0) & (((wide[at2] & 3) << 2 | wide[at2 + 1] >> 6) != 15)
+        at3 = at + 1 + LPC_ORDER  # of linear ones: precision, shift, coefficients, then residuals from the second bit of the sixth byte on
+        after = wide[at3 + 5].astype(np.int64) << 8 | wide[at3 + 6]
+        whole = linear & (wide[at3] >> 4 == LPC_BITS - 1) & (((wide[at3] & 15) << 1 | wide[at3 + 1] >> 7) < 16) & (after >> 9 & 63 == 0) & (after >> 5 & 15 != 15)
+        fast = simple & ~linear & (order >= 0) & (order <= 2) & (joined[at] & 129 == 0) & (wide[at2] >> 2 == 0) & (((wide[at2] & 3) << 2 | wide[at2 + 1] >> 6) != 15)
+        fast |= simple & whole & (joined[at] & 129 == 0)
         plain = simple & (kind == 1) & (joined[at] & 129 == 0)
         rows: dict[int, bytes] = {}
         if fast.any():
@@ -393,6 +470,25 @@ def decode_many(streams: list[bytes], tables: tuple) -> list[bytes]:
             else:
                 rows[i] = bytes(v + 128 for v in _subframe(frame[opened[i][1] : -2], opened[i][0], some[i][0]))
         pcm += [rows[i] for i in range(len(some))]
+    return pcm
+
+
+def read_samples(media: bytes, start: int, n: int, tables: tuple) -> bytes:
+    """Samples from ``start`` on, up to ``n``; only the frames that hold them are decoded. For streams with SAMPLES a frame."""
+    total, _, depth, where = _frames_of(media)
+    end = min(start + n, total)
+    if start >= end:
+        return b""
+    first = start // SAMPLES
+    data = b"".join(_decoded([(depth, media[a:b]) for a, b in where[first : -(-end // SAMPLES)]], tables))
+    return data[start - first * SAMPLES : end - first * SAMPLES]
+
+
+def decode_many(streams: list[bytes], tables: tuple) -> list[bytes]:
+    """The samples of each 8-bit mono stream as unsigned bytes."""
+    heads = [_frames_of(m) for m in streams]
+    frames = [(d, m[a:b]) for (_, _, d, where), m in zip(heads, streams, strict=True) for a, b in where]
+    pcm = _decoded(frames, tables)
     out, at = [], 0
     for total, md5, _, where in heads:
         data = b"".join(pcm[at : at + len(where)])

@@ -50,6 +50,25 @@ def test_flac_round_trip_and_checks():
         flac_media.decode_many([bytes(bad)], tables)
 
 
+def test_flac_encodes_linear_predictors_and_seeks():
+    """Frames with fitted coefficients decode alike by the fast and the bitwise reader; any range is read by its sample offset."""
+    tables, rng = (flac_media.crc8_table(), flac_media.crc16_table()), random.Random(7)
+    words = ["lorem", "ipsum", "dolor", "sit", "amet", "é", "Zürich", "and", "the", "\n"]
+    data = [flac_media.payload_of(" ".join(rng.choice(words) for _ in range(n)))[1] for n in (3, 900, 6000)]
+    data.append(bytes(int(128 + 100 * np.sin(i / 7)) for i in range(576 * 20)))
+    kinds = Counter()
+    for stream, want in zip(flac_media.encode_many(data, tables), data, strict=True):
+        assert flac_media.decode_many([stream], tables) == [want]
+        for i, (a, b) in enumerate(flac_media._frames_of(stream)[3][:12]):
+            n, at = flac_media._open(stream[a:b], tables[0])
+            kinds[stream[a + at] >> 1 & 63] += 1
+            assert bytes(v + 128 for v in flac_media._subframe(stream[a + at : b - 2], n, 8)) == want[576 * i : 576 * i + 576]
+        for _ in range(20):
+            start, n = rng.randint(0, len(want)), rng.randint(0, 3000)
+            assert flac_media.read_samples(stream, start, n, tables) == want[start : start + n]
+    assert kinds[32 + flac_media.LPC_ORDER - 1] > 10
+
+
 def test_flac_linear_prediction():
     """A frame with LPC coefficients, written by hand, decodes to the samples it was made from."""
     samples, coef, shift = [3, 5], [3, -1], 1
