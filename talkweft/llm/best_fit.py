@@ -8,7 +8,8 @@ shortest permitted length that takes its contents. The cost of a length is itsel
 
 Edge cases: documents longer than the longest length are cut into pieces of it, and nothing is dropped; null
 and empty texts are one end token; ties go to the smaller doc_id and piece, then to the older bin, so packing is
-deterministic; equal rows are packed each; null doc_ids are packed like others; an empty table gives no rows.
+deterministic; equal rows are packed each; null doc_ids are packed like others; an empty table gives no rows; other
+columns are not read, so names can't clash.
 """
 
 from __future__ import annotations

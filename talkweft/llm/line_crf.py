@@ -6,12 +6,14 @@ probability of being good; their mean, weighted by line lengths, is the document
 logistic fit on the training documents turns into ``score``.
 
 The field is fitted on the driver on at most TRAIN_DOCS labelled documents of each label (least hashed ids, no
-text over TRAIN_CHARS): a bounded sample, as a parameter. Rows whose crc32(doc_id as text) mod 4 is 2 are held
+text over TRAIN_CHARS or TRAIN_LINES line breaks): a bounded sample, as parameters; the driver holds 350 MB of features at
+most. Every document weighs the same within its label, in both gradients. Rows whose crc32(doc_id as text) mod 4 is 2 are held
 out and never trained on; labels, language, source and id are no inputs of a score.
 
 Edge cases: null and empty texts are one empty line; equal texts get equal scores; labels are taken once per
 document (the largest), null labels not at all; where training rows lack one of both labels nothing can be
-told apart and every score is 1; a null doc_id is held out of training, and its ``held_out`` is false.
+told apart and every score is 1; a null doc_id is held out of training, and its ``held_out`` is false; very long texts
+are scored whole, a task at a time; an empty table gives no rows; other columns are not read, so names can't clash.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import filter_batches, map_batches
 
-TRAIN_DOCS, TRAIN_CHARS = 1200, 200_000
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_LINES = 1200, 200_000, 1000
 STEPS, RATE, RIDGE = 150, 0.08, 1e-3
 THRESHOLD = 0.7
 OWN = 11
@@ -63,8 +65,8 @@ def line_features(text: str | None) -> tuple[np.ndarray, list[int]]:
     return np.hstack([own, np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge]), first, last, np.ones((len(own), 1), np.float32)]), sizes
 
 
-def forward_backward(unary: np.ndarray, trans: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals [lines, 2] and summed pair marginals [2, 2] of chains of ``counts`` lines, laid end to end."""
+def forward_backward(unary: np.ndarray, trans: np.ndarray, counts: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals [lines, 2] and summed pair marginals [2, 2], each line's by its weight, of chains of ``counts`` lines, laid end to end."""
     order = np.argsort(-counts, kind="stable")
     starts, size = (np.cumsum(counts) - counts)[order], counts[order]
     m = np.exp(trans - trans.max())
@@ -91,7 +93,7 @@ def forward_backward(unary: np.ndarray, trans: np.ndarray, counts: np.ndarray) -
     i = np.flatnonzero(inner)
     pair = alpha[i][:, :, None] * m * (e[i + 1] * beta[i + 1])[:, None, :]
     pair /= pair.sum((1, 2), keepdims=True)
-    return gamma, pair.sum(0)
+    return gamma, pair.sum(0) if weight is None else (pair * weight[i][:, :, None]).sum(0)
 
 
 def fit(docs: list[tuple[np.ndarray, list[int], int]], share: float) -> dict:
@@ -105,13 +107,15 @@ def fit(docs: list[tuple[np.ndarray, list[int], int]], share: float) -> dict:
     y = np.repeat(labels, counts)
     weight = np.repeat(np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) / counts, counts)[:, None]
     target = np.stack([1 - y, y], 1)
-    same = np.array([[(counts[labels == 0] - 1).sum(), 0], [0, (counts[labels == 1] - 1).sum()]], float)
+    inner = np.ones(len(x), bool)
+    inner[np.cumsum(counts) - 1] = False  # a document's last line has no next one
+    same = np.diag([weight[inner & (y == q)].sum() for q in (0, 1)])
     w, t = np.zeros((WIDTH, 2)), np.zeros((2, 2))
     mw, vw, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)
     for step in range(1, STEPS + 1):
-        gamma, pair = forward_backward(x @ w, t, counts)
+        gamma, pair = forward_backward(x @ w, t, counts, weight)
         gw = x.T @ ((target - gamma) * weight) - RIDGE * w
-        gt = (same - pair) / max(1, len(x)) - 10 * RIDGE * t
+        gt = (same - pair) - 10 * RIDGE * t
         for g, m, v, p in ((gw, mw, vw, w), (gt, mt, vt, t)):
             m *= 0.9
             m += 0.1 * g
@@ -157,7 +161,8 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The field fitted on the training rows of ``docs``; None where a label is missing."""
     marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(~held_out())
-    known = docs.where(F.length(F.coalesce("text", F.lit(""))) <= TRAIN_CHARS).select("doc_id").join(marks, "doc_id", "left_semi").distinct()
+    short = (F.length(F.coalesce("text", F.lit(""))) <= TRAIN_CHARS) & (F.length(F.translate(F.coalesce("text", F.lit("")), "\n", "")) >= F.length(F.coalesce("text", F.lit(""))) - TRAIN_LINES)
+    known = docs.where(short).select("doc_id").join(marks, "doc_id", "left_semi").distinct()
     known = known.join(marks, "doc_id")
     counts = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     if len(counts) < 2:
@@ -171,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
 
         return work
 
-    rows = map_batches(docs.where(F.col("doc_id").isin(list(picked))).select("doc_id", "text"), make, "doc_id long, f binary, sizes array<int>").collect()
+    rows = map_batches(docs.where(short & F.col("doc_id").isin(list(picked))).select("doc_id", "text"), make, "doc_id long, f binary, sizes array<int>").collect()
     rows = list({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["f"])))}.values())
     return fit([(np.frombuffer(r["f"], np.float32).reshape(-1, WIDTH), list(r["sizes"]), picked[r["doc_id"]]) for r in rows], counts[1] / (counts[0] + counts[1]))
 

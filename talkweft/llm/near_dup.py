@@ -21,7 +21,8 @@ confirmed is exact.
 
 Edge cases: A-Z is lower-cased; texts of one word are one shingle; null, empty and blank texts have no shingles
 and no links, so each is a component by itself; null doc_ids keep a null component and are linked with nothing;
-rows that repeat a doc_id are one document in links and keep their rows; ties go to the smallest doc_id.
+rows that repeat a doc_id are one document in links and keep their rows; ties go to the smallest doc_id; very long texts
+are shingled whole; an empty table gives no rows; other columns are not read, so names can't clash.
 """
 
 from __future__ import annotations

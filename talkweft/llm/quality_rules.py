@@ -16,7 +16,9 @@ if no gain is over 0.
 
 Edge cases: null or empty texts have no words, so they fail the base; a null language is a stratum of its own;
 languages beyond the STRATA most labelled ones share one stratum; labels are taken once per document (the largest);
-null labels are ignored; without labels, or with too few good ones in all, nothing is certified and only the base decides. Rows repeat as they came.
+null labels are ignored; without labels, or with too few good ones in all, nothing is certified and only the base decides. Rows repeat as they came; very long texts
+are measured whole; an empty table gives no rows; other columns are not read, so names can't clash. The bound speaks of good
+documents that pass the base: what the base rejects is not the method's.
 """
 
 from __future__ import annotations

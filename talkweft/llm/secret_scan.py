@@ -8,7 +8,9 @@ backwards to the leftmost start, forwards to the longest end. Per rule, spans ar
 overlap; a match that is too short still uses up its text.
 
 Edge cases: null and empty texts have no span; offsets count code points, ends are exclusive; spans are
-sorted by start, then by the order of RULES, so ties are stable; repeated rows get equal results.
+sorted by start, then by the order of RULES, so ties are stable; repeated rows get equal results; null doc_ids stay
+null; texts of any length are scanned whole, in time and memory that grow with them; an empty table gives no rows; other
+columns are not read, so names can't clash.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ that hold sums be weak. Files follow ascending doc_id (null ids first; equal ids
 a repeated task replaces its file by the same bytes.
 
 Edge cases: null and empty texts are the end id alone; rows that repeat a doc_id are records of their own;
-an empty table writes nothing and reads back as no rows.
+an empty table writes nothing and reads back as no rows; very long texts are one record each; other columns are not read,
+so names can't clash.
 """
 
 from __future__ import annotations

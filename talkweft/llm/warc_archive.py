@@ -8,7 +8,8 @@ are revisits that name it and carry no payload.
 
 Edge cases: a null html is an empty payload; null urls become ``urn:page:<id>``; smaller payloads than MIN_BYTES
 are always responses; records of null page_id are responses; rows that repeat a page_id and its payload are
-written each, all of them responses if the first is; with an empty table there is no archive and no row.
+written each, all of them responses if the first is; very long payloads are one frame each, compressed whole; other
+columns are not read, so names can't clash; with an empty table there is no archive and no row.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import get_file, map_batches, put_file, shared_folder, shuffle_partitions, written
+from .common import BROADCAST_ROWS, get_file, map_batches, put_file, shared_folder, shuffle_partitions, written
 
 MIN_BYTES = 0
 DICT_RECORDS, DICT_RECORD_BYTES, DICT_BYTES = 400, 65536, 65536
@@ -32,11 +33,15 @@ SKIPPABLE = 0x184D2A5D
 LEVEL = 3
 
 
+def _record_id(page_id: int | None, digest: str) -> uuid.UUID:
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}")
+
+
 def _head(kind: str, page_id: int | None, uri: str, digest: str, length: int, block: int, first: int | None) -> bytes:
-    rid = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}")
+    rid = _record_id(page_id, digest)
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{rid}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-Id: {'' if page_id is None else page_id}", f"X-Payload-Length: {length}"]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {first}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{_record_id(first, digest)}>", f"X-Refers-To-Page: {first}"]
     return ("\r\n".join([*lines, "Content-Type: text/html", f"Content-Length: {block}"]) + "\r\n\r\n").encode("utf-8", "surrogatepass")
 
 
@@ -87,11 +92,17 @@ def read_archive(data: bytes):
         at = end
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of digests and ids, broadcast where it has at most 100,000 rows (10 MB)."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS // 10 else table
+
+
 def revisits(pages: DataFrame) -> DataFrame:
     """page_id and first for pages whose payload a smaller page_id has; payloads meet as digests only."""
     payload = F.coalesce("html", F.lit(""))
     sums = pages.where("page_id IS NOT NULL").select("page_id", F.sha1(payload).alias("sum"), F.octet_length(payload).alias("size")).where(F.col("size") >= MIN_BYTES)
     first = sums.groupBy("sum", "size").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("sum", "size", "first")
+    first = _small(written(first, "payloads"))
     return sums.join(first, ["sum", "size"]).where("page_id > first").groupBy("page_id", "sum").agg(F.min("first").alias("first"))
 
 
@@ -101,7 +112,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     pick = [r[0] for r in pages.where("page_id IS NOT NULL").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(DICT_RECORDS).collect()]
     some = pages.where(F.col("page_id").isin(pick) & (F.length(F.coalesce("html", F.lit(""))) <= DICT_RECORD_BYTES)).orderBy("page_id").limit(DICT_RECORDS).collect() if pick else []
     trained = dictionary([record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass"), None) for r in some])
-    full = pages.withColumn("sum", F.sha1(F.coalesce("html", F.lit("")))).join(revisits(pages), ["page_id", "sum"], "left").select("page_id", "url", "html", "first")
+    full = pages.withColumn("sum", F.sha1(F.coalesce("html", F.lit("")))).join(_small(written(revisits(pages), "revisits")), ["page_id", "sum"], "left").select("page_id", "url", "html", "first")
 
     def run(batches):
         import pyarrow as pa
