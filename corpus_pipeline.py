@@ -17,27 +17,27 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go. Null and empty texts have no words and go; repeated rows get equal verdicts; extra columns go; an empty table stays one."""
     return keep_by_rules(docs, _labels(spark, sf_dir))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Equal texts get equal verdicts; without labels of both kinds all stay; extra columns go; an empty table stays one."""
     return keep_good(docs, _labels(spark, sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity 0.8 and more."""
+    """One document of each group stays, that of the smallest doc_id: five-word shingles, similarity 0.8 and more. Texts without words and rows of null doc_id stay; rows that repeat a doc_id stay or go together; extra columns go."""
     return keep_first(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by their kind."""
+    """Secrets in texts are replaced by their kind, and n_chars follows. Null texts stay null; every row stays; extra columns go."""
     return redact_secrets(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every remaining document's pieces, with bin and offset."""
+    """Every remaining document's pieces, with bin and offset. Null and empty texts are one token; long ones are cut, nothing is dropped; equal rows are packed each."""
     return pack_corpus(docs)
 
 

@@ -48,8 +48,8 @@ def priority(split: str = "split") -> Column:
 def dedup_across(df: DataFrame, key: Column) -> DataFrame:
     """Rows whose key no split of higher priority holds; repeats within a split stay."""
     rows = df.withColumn("_key", key).withColumn("_p", priority())
-    best = rows.groupBy("_key").agg(F.min("_p").alias("_best"))
-    return rows.join(best, "_key").where("_p = _best").drop("_key", "_p", "_best")
+    shared = rows.groupBy("_key").agg(F.min("_p").alias("_best"), F.max("_p").alias("_worst")).where("_best < _worst").select("_key", "_best")  # few: AQE broadcasts them
+    return rows.join(shared, "_key", "left").where("_best IS NULL OR _p = _best").drop("_key", "_p", "_best")
 
 
 def dedup_first(df: DataFrame, key: Column, ordinal: str, keep: list[str]) -> DataFrame:
@@ -71,8 +71,9 @@ def pii_report(df: DataFrame, text: str, by: list[str]) -> DataFrame:
 
 def held_out_hits(train: DataFrame, held_out: DataFrame, text: str) -> DataFrame:
     """Rows of ``train`` whose normalized text is one of ``held_out``'s."""
-    keys = held_out.select(norm_unicode(F.col(text)).alias("_key")).distinct()
-    return train.withColumn("_key", norm_unicode(F.col(text))).join(keys, "_key", "left_semi").drop("_key")
+    keys = held_out.select(norm_unicode(F.col(text)).alias("_held")).distinct().withColumn("_digest", F.md5("_held"))
+    rows = train.withColumn("_key", norm_unicode(F.col(text)))
+    return rows.join(keys, (F.md5("_key") == F.col("_digest")) & (F.col("_key") == F.col("_held")), "left_semi").drop("_key")
 
 
 def circular_previous(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
