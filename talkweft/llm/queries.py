@@ -36,7 +36,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(written(encode_flac(_table(spark, sf_dir, "documents")), "flac-media"))
+    return media_features(written(encode_flac(_table(spark, sf_dir, "documents")), "flac-media", "zstd"))
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
