@@ -30,7 +30,7 @@ BLOCK_FRAMES = 2048
 PCM_BLOCK = 576 * 114  # samples of one PCM block that decode_flac writes
 LPC_ORDER, LPC_BITS = 4, 8
 LPC_HEAD = 4 + 5 + LPC_ORDER * LPC_BITS  # bits of precision, shift and coefficients
-LPC_GAIN = 1.08  # linear prediction is used where it saves so much: its bits have less in common with those of like texts
+LPC_GAIN = 1.05  # linear prediction is used where it saves so much: its bits have less in common with those of like texts
 SEEK_FRAMES = 16  # a seek point for so many frames; SIZES has every frame's size
 SIZES = b"twfs"  # id of the application block that holds them
 
