@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, map_batches, shuffle_partitions
+from .common import _arrow_schema, map_arrow, map_batches, shuffle_partitions
 from .tokens import WordCache, count_of, default_vocabulary
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -109,7 +109,7 @@ def pack_documents(lengths_of: DataFrame, n_rows: int, lengths: tuple[int, ...]
                 rows.append((d, p, s, n))
         yield from done()
 
-    return dealt.select("doc_id", "piece", "piece_start", "size", "shard").mapInArrow(run, PACKED)
+    return map_arrow(dealt.select("doc_id", "piece", "piece_start", "size", "shard"), run, PACKED)
 
 
 def pack_corpus(docs: DataFrame) -> DataFrame:

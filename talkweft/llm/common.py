@@ -23,6 +23,7 @@ cloudpickle.register_pickle_by_value(talkweft)
 
 BROADCAST_ROWS = 1_000_000  # 8-byte ids: 8 MB at most are broadcast; more take a shuffled join
 SLICE_BYTES = 4 << 20  # texts of an Arrow batch that are Python objects at a time (one text at least)
+BATCH_BYTES = 8 << 20  # an Arrow batch between JVM and Python (one row at least), where the session sets no other size
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -78,6 +79,19 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = end
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes as well as by rows: 10,000 long texts would be too many at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` over batches of bounded bytes."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def release() -> None:
     """Give memory that a task freed back to the system: Python workers live on after it, beside the JVM."""
     pa.default_memory_pool().release_unused()
@@ -104,7 +118,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
         del work
         release()
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def filter_batches(df: DataFrame, make: Callable[[], Callable[..., list[bool]]], reads: list[str]) -> DataFrame:
@@ -124,7 +138,7 @@ def filter_batches(df: DataFrame, make: Callable[[], Callable[..., list[bool]]],
         del work
         release()
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)
 
 
 def _arrow_schema(ddl: str) -> pa.Schema:

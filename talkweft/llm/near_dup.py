@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, _arrow_schema, by_ids, forget, map_batches, release, shuffle_partitions, slices, written
+from .common import BROADCAST_ROWS, _arrow_schema, by_ids, forget, map_arrow, map_batches, release, shuffle_partitions, slices, written
 
 SHINGLE, SHARE = 2, 80  # words a shingle; hundredths of the union that a link needs in common
 COORDS, MATCHES, BAND = 64, 38, 4
@@ -195,7 +195,7 @@ def _cell_counts(classes: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["cell", "n"])
 
-    rows = classes.select("sig").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = map_arrow(classes.select("sig"), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(CELLS, np.int64)
     out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -327,7 +327,7 @@ def _joined(known: DataFrame, share: int) -> DataFrame:
             yield from emit([meet(held[3:])])
         release()
 
-    return dealt.select("pair", "i", "j", *rest).mapInArrow(run, "x long, comp long").distinct()
+    return map_arrow(dealt.select("pair", "i", "j", *rest), run, "x long, comp long").distinct()
 
 
 def sketch_of(s: np.ndarray) -> bytes:
@@ -413,7 +413,7 @@ def _confirmed_against(wanted: DataFrame, known: DataFrame, docs: DataFrame, wid
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
         release()
 
-    return dealt.select("comp", "m", "p", "side", "rep", "n", "sig", "text").mapInArrow(run, "a long, b long")
+    return map_arrow(dealt.select("comp", "m", "p", "side", "rep", "n", "sig", "text"), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, share: int = SHARE) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import map_arrow, map_batches, written
 
 CHUNK = 32_768
 BLOCK = 64
@@ -363,4 +363,4 @@ def decode_pieces(encoded: DataFrame, model: str | None = None) -> DataFrame:
             texts = [unmarked(lattice.decode(ids.as_py() or [])) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")

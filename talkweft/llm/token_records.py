@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import get_file, map_batches, put_file, release, shared_folder, shuffle_partitions, slices, written
+from .common import get_file, map_arrow, map_batches, put_file, release, shared_folder, shuffle_partitions, slices, written
 from .tokens import WordCache, default_vocabulary, ids_of
 
 END_ID = 1
@@ -84,7 +84,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = E
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "records": [len(index)], "tokens": [tokens], "bytes": [size]})
         release()
 
-    return written(ordered.mapInArrow(run, "part long, path string, records long, tokens long, bytes long"), "record-manifest")
+    return written(map_arrow(ordered, run, "part long, path string, records long, tokens long, bytes long"), "record-manifest")
 
 
 def _after(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:

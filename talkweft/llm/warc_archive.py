@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, get_file, map_batches, put_file, shared_folder, shuffle_partitions, written
+from .common import BROADCAST_ROWS, get_file, map_arrow, map_batches, put_file, shared_folder, shuffle_partitions, written
 
 MIN_BYTES = 0
 DICT_RECORDS, DICT_RECORD_BYTES, DICT_BYTES = 400, 65536, 65536
@@ -135,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             path, size = put_file(folder, f"part-{TaskContext.get().partitionId():05d}.warc.zst", parts())
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [count], "bytes": [size]})
 
-    return written(full.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
+    return written(map_arrow(full, run, "path string, records long, bytes long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
