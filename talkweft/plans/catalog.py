@@ -430,4 +430,5 @@ from . import evaluated as _evaluated  # noqa: E402, F401  (these register their
 from . import expanded as _expanded  # noqa: E402, F401
 from . import generated as _generated  # noqa: E402, F401
 from . import measured as _measured  # noqa: E402, F401
+from . import realized as _realized  # noqa: E402, F401
 from . import wired as _wired  # noqa: E402, F401
