@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_batches, map_batches
+from .common import filter_batches, map_batches, written
 
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_LINES = 1200, 200_000, 1000
 STEPS, RATE, RIDGE = 150, 0.08, 1e-3
@@ -161,9 +161,9 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The field fitted on the training rows of ``docs``; None where a label is missing."""
     marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(~held_out())
-    short = (F.length(F.coalesce("text", F.lit(""))) <= TRAIN_CHARS) & (F.length(F.translate(F.coalesce("text", F.lit("")), "\n", "")) >= F.length(F.coalesce("text", F.lit(""))) - TRAIN_LINES)
+    short = (F.length(F.coalesce("text", F.lit(""))) <= TRAIN_CHARS) & (F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) >= F.length(F.coalesce("text", F.lit(""))) - TRAIN_LINES)
     known = docs.where(short).select("doc_id").join(marks, "doc_id", "left_semi").distinct()
-    known = known.join(marks, "doc_id")
+    known = written(known.join(marks, "doc_id"), "labelled")  # ids and labels: texts are measured once
     counts = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     if len(counts) < 2:
         return None
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
 
         return work
 
-    rows = map_batches(docs.where(short & F.col("doc_id").isin(list(picked))).select("doc_id", "text"), make, "doc_id long, f binary, sizes array<int>").collect()
+    rows = map_batches(docs.where(F.col("doc_id").isin(list(picked)) & short).select("doc_id", "text"), make, "doc_id long, f binary, sizes array<int>").collect()
     rows = list({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["f"])))}.values())
     return fit([(np.frombuffer(r["f"], np.float32).reshape(-1, WIDTH), list(r["sizes"]), picked[r["doc_id"]]) for r in rows], counts[1] / (counts[0] + counts[1]))
 
