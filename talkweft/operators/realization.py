@@ -181,7 +181,7 @@ def settings_problem(settings: DataFrame) -> Column:
     for name in reversed(AT_LEAST_ONE):
         said = F.when(settings[name] < 1, f"--{name.replace('_', '-')} must be at least 1").otherwise(said)
     for name in ("dataset_revision", "model_revision"):
-        said = F.when(~F.coalesce(is_revision(settings[name]), F.lit(False)), f"--{name.replace('_', '-')} must be an exact revision").otherwise(said)
+        said = F.when(~F.coalesce(is_revision(settings[name]), F.lit(False)), f"--{name.replace('_', '-')} must be an exact 40-character lowercase Git revision").otherwise(said)
     return said
 
 

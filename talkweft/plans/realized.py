@@ -89,7 +89,7 @@ def limited_records(df: DataFrame) -> DataFrame:
     return R.limited(df.select("doc_id", "quality"), "doc_id", 25)
 
 
-@query("labels", """SELECT doc_id, CASE k WHEN 0 THEN '--model-revision must be an exact revision' WHEN 1 THEN '--dataset-revision must be an exact revision' WHEN 2 THEN '--max-new-tokens-first must be at least 1' WHEN 3 THEN '--max-new-tokens-final must be at least 1' WHEN 4 THEN '--max-tool-passes must be at least 1' WHEN 5 THEN '--max-tool-calls must be at least 1' WHEN 6 THEN '--limit must be at least 1' END AS problem, k <> 8 AS resumable FROM (SELECT doc_id, doc_id % 9 AS k FROM labels)""")
+@query("labels", """SELECT doc_id, CASE k WHEN 0 THEN '--model-revision must be an exact 40-character lowercase Git revision' WHEN 1 THEN '--dataset-revision must be an exact 40-character lowercase Git revision' WHEN 2 THEN '--max-new-tokens-first must be at least 1' WHEN 3 THEN '--max-new-tokens-final must be at least 1' WHEN 4 THEN '--max-tool-passes must be at least 1' WHEN 5 THEN '--max-tool-calls must be at least 1' WHEN 6 THEN '--limit must be at least 1' END AS problem, k <> 8 AS resumable FROM (SELECT doc_id, doc_id % 9 AS k FROM labels)""")
 def run_settings(df: DataFrame) -> DataFrame:
     k, good = F.col("doc_id") % 9, F.sha1(F.lit("r").cast("binary"))
     one = lambda n: F.when(k == n, 0).otherwise(1)
