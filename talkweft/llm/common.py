@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import talkweft
@@ -65,6 +65,21 @@ def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> Da
     return docs.join(ids, key, how)
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` written in ``order``, with ``number`` (0, 1, ...) over all partitions: sorted ranges, and the sizes of those before each.
+
+    Rows that ``order`` doesn't tell apart are numbered in any order. Only one row a range meets in one task.
+    """
+    ranges = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    table = written(ranges.withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    sizes = table.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_part", before.alias("_start")))
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return table.withColumn("_part", part).join(starts, "_part").withColumn("number", F.col("_start") + at).drop("_part", "_start", "_at")
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Runs of rows of a batch whose strings and binaries stay within SLICE_BYTES together, or single rows."""
     size = np.zeros(batch.num_rows, np.int64)

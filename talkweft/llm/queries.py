@@ -15,6 +15,7 @@ from .oracles import oracle_sql
 from .quality_rules import quality_verdicts
 from .secret_scan import scan_secrets
 from .sentence_pieces import encode_pieces
+from .target_resample import importance_resample
 from .token_records import token_records
 from .url_filter import filter_urls
 from .warc_archive import archive_pages
@@ -67,5 +68,9 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(_table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit, op2_secrets, op3_flac, op4_pieces, op5_rules, op6_warc, op7_line_crf, op8_urls, op9_near_dup, op10_records)}
+    return {f.__name__: f for f in (op1_best_fit, op2_secrets, op3_flac, op4_pieces, op5_rules, op6_warc, op7_line_crf, op8_urls, op9_near_dup, op10_records, op11_resample)}
