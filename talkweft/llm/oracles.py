@@ -147,6 +147,15 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY enters DESC, score DESC, doc_id
 SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score, CASE WHEN k <= 25 * (SELECT count(*) FROM scored WHERE enters) // 100 THEN k END AS rank FROM ranked"""
 
 
+def negatives() -> str:
+    return """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, o.vec_id AS vec_id, a.label = o.label AS same, list_inner_product(a.v, o.v)::BIGINT AS score FROM v a JOIN v o ON a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same AND vec_id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
     """By query. The others return learnt scores, token ids, stored bytes or greedy packings, which tests hold against plain versions."""
-    return {"op2_secrets": secrets(), "op5_rules": rules(), "op6_warc": archive(), "op8_urls": urls(), "op9_near_dup": near_dup(), "op11_resample": resample()}
+    return {"op2_secrets": secrets(), "op5_rules": rules(), "op6_warc": archive(), "op8_urls": urls(), "op9_near_dup": near_dup(), "op11_resample": resample(), "op12_negatives": negatives()}

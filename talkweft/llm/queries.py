@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .best_fit import pack_corpus
 from .common import written
 from .flac_media import encode_flac, media_features
+from .hard_negatives import hard_negatives
 from .line_crf import classify
 from .near_dup import near_duplicates
 from .oracles import oracle_sql
@@ -72,5 +74,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), label=shifted)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit, op2_secrets, op3_flac, op4_pieces, op5_rules, op6_warc, op7_line_crf, op8_urls, op9_near_dup, op10_records, op11_resample)}
+    return {f.__name__: f for f in (op1_best_fit, op2_secrets, op3_flac, op4_pieces, op5_rules, op6_warc, op7_line_crf, op8_urls, op9_near_dup, op10_records, op11_resample, op12_negatives)}
