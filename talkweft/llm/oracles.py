@@ -156,6 +156,19 @@ SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS neg
 WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5"""
 
 
+def decontamination() -> str:
+    words = lambda t, i: f"SELECT {i}, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '{ALNUM}') AS w FROM {t}"
+    return rf"""WITH d AS ({words('documents', 'doc_id')}), b AS ({words('benchmark', 'item_id')}),
+n AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+x AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM n),
+sizes AS (SELECT DISTINCT n FROM x),
+p AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM d JOIN sizes ON len(w) >= n),
+o AS (SELECT doc_id, i, n, item_id FROM p JOIN x USING (g, n)),
+h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT doc_id, i, n FROM o)) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM o) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """By query. The others return learnt scores, token ids, stored bytes or greedy packings, which tests hold against plain versions."""
-    return {"op2_secrets": secrets(), "op5_rules": rules(), "op6_warc": archive(), "op8_urls": urls(), "op9_near_dup": near_dup(), "op11_resample": resample(), "op12_negatives": negatives()}
+    return {"op2_secrets": secrets(), "op5_rules": rules(), "op6_warc": archive(), "op8_urls": urls(), "op9_near_dup": near_dup(), "op11_resample": resample(), "op12_negatives": negatives(), "op13_contamination": decontamination()}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .best_fit import pack_corpus
 from .common import written
+from .decontaminate import contamination
 from .flac_media import encode_flac, media_features
 from .hard_negatives import hard_negatives
 from .line_crf import classify
@@ -79,5 +80,10 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(_table(spark, sf_dir, "embeddings"), label=shifted)
 
 
+def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit, op2_secrets, op3_flac, op4_pieces, op5_rules, op6_warc, op7_line_crf, op8_urls, op9_near_dup, op10_records, op11_resample, op12_negatives)}
+    return {f.__name__: f for f in (op1_best_fit, op2_secrets, op3_flac, op4_pieces, op5_rules, op6_warc, op7_line_crf, op8_urls, op9_near_dup, op10_records, op11_resample, op12_negatives, op13_contamination)}
