@@ -22,7 +22,7 @@ def rows_of(names, rows):
 
 def against_sql(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", *(("benchmark", "embeddings") if folder == DATA else ())):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet{'/*.parquet' if folder != DATA else ''}')")
     want = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in want.description]
