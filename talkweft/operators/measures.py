@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .quantiles import FEW, quantiles
 from .scoring import ratio
 
 
@@ -51,23 +52,22 @@ def best_epoch(metrics: DataFrame, parts: list[tuple[str, bool]], epoch: str = "
     return rows.agg(F.max_by(F.struct(epoch, "score"), F.struct(F.col("score"), -F.col(epoch))).alias("r")).select(f"r.{epoch}", "r.score")
 
 
-QUANTILE_VALUES = 1_000_000  # quantiles come from every n-th value beyond so many, as a strided sample
+def parity(df: DataFrame, left: str, right: str, few: int = FEW) -> DataFrame:
+    """How far two score vectors a row are apart, in one row: differences, exact quantiles of all of them, equal largest entries.
 
-
-def parity(df: DataFrame, left: str, right: str, row: str) -> DataFrame:
-    """How far two score vectors a row are apart: differences, shares within tolerances, equal largest entries."""
+    One scan for the totals; the quantiles are selected (``quantiles``). Vectors of unequal length differ by null where one ends.
+    """
     gap = F.transform(F.arrays_zip(F.col(left).alias("l"), F.col(right).alias("r")), lambda p: F.abs(p["l"] - p["r"]))
-    rows = df.select(row, gap.alias("gap"), (F.array_position(left, F.array_max(left)) == F.array_position(right, F.array_max(right))).alias("same"))
+    rows = df.select(gap.alias("gap"), (F.array_position(left, F.array_max(left)) == F.array_position(right, F.array_max(right))).alias("same"))
     finite = F.filter("gap", lambda g: ~F.isnan(g) & (g != float("inf")))
-    total = rows.agg(F.count(F.lit(1)).alias("prompt_count"), F.sum(F.size("gap")).alias("compared"), F.sum(F.size(finite)).alias("finite"), F.max(F.array_max("gap")).alias("max_diff"), (F.sum(F.aggregate("gap", F.lit(0.0), lambda a, g: a + g)) / F.sum(F.size("gap"))).alias("mean_diff"), ratio(F.count_if("same"), F.count(F.lit(1))).alias("argmax_agreement"))
-    n = total.first()["compared"] or 0
-    stride = max(1, -(-n // QUANTILE_VALUES))
-    values = rows.select(F.xxhash64(row).alias("h"), F.posexplode("gap").alias("i", "g"))
-    if stride > 1:
-        values = values.where(F.pmod(F.col("h") + F.col("i"), F.lit(stride)) == 0)
-    tails = values.agg(F.percentile("g", 0.99).alias("p99_diff"), F.percentile("g", 0.999).alias("p999_diff"))
+    there = F.filter("gap", lambda g: g.isNotNull())
+    total = rows.agg(F.count(F.lit(1)).alias("prompt_count"), F.sum(F.size("gap")).alias("compared"), F.sum(F.size(there)).alias("_there"), F.sum(F.size(finite)).alias("finite"), F.max(F.array_max("gap")).alias("max_diff"), (F.sum(F.aggregate("gap", F.lit(0.0), lambda a, g: a + g)) / F.sum(F.size("gap"))).alias("mean_diff"), ratio(F.count_if("same"), F.count(F.lit(1))).alias("argmax_agreement"))
+    one = total.first()
+    tails = quantiles(rows.select(F.explode("gap").alias("g")), "g", [0.99, 0.999], one["_there"] or 0, few)
+    known = [F.lit(one[f.name]).cast(f.dataType).alias(f.name) for f in total.schema if f.name != "_there"]
+    known += [F.lit(v).cast("double").alias(name) for name, v in zip(("p99_diff", "p999_diff"), tails, strict=True)]
     close = [(F.col("max_diff") <= t).alias(n) for t, n in ((0.005, "close_0_005"), (0.01, "close_0_01"), (0.02, "close_0_02"))]
-    return total.join(F.broadcast(tails)).select("*", *close)  # one row each
+    return df.sparkSession.range(1).select(*known).select("*", *close)
 
 
 def parity_failures(report: DataFrame, least_agreement: float = 0.999, most_diff: float = 0.3, most_p999: float = 0.07, least_prompts: int = 8) -> DataFrame:

@@ -68,7 +68,7 @@ SELECT prompt_count, compared, finite, round(max_diff, 6) AS max_diff, round(mea
 concat_ws('; ', CASE WHEN finite < compared THEN 'non-finite logit differences' END, CASE WHEN prompt_count < 8 THEN 'too few prompts' END, CASE WHEN argmax_agreement < 0.999 THEN 'argmax agreement' END, CASE WHEN max_diff > 0.3 THEN 'maximum logit difference' END, CASE WHEN p999_diff > 0.07 THEN 'p999 logit difference' END) AS failures FROM t, a""")
 def score_parity(df: DataFrame) -> DataFrame:
     rows = df.select("vec_id", F.col("embedding").cast("array<double>").alias("l"), F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x + (F.pmod(F.col("vec_id") + i, F.lit(7)) - 3) * F.lit(0.03)).alias("r"))
-    out = A.parity_failures(A.parity(rows, "l", "r", "vec_id"))
+    out = A.parity_failures(A.parity(rows, "l", "r"))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
