@@ -426,7 +426,8 @@ def generated_slots(spark: SparkSession, d: str) -> DataFrame:
     return R.generated_slots(spark, 9000)
 
 
-from . import evaluated as _evaluated  # noqa: E402, F401  (these register their queries)
+from . import contracted as _contracted  # noqa: E402, F401  (these register their queries)
+from . import evaluated as _evaluated  # noqa: E402, F401
 from . import expanded as _expanded  # noqa: E402, F401
 from . import generated as _generated  # noqa: E402, F401
 from . import measured as _measured  # noqa: E402, F401
