@@ -435,3 +435,4 @@ from . import realized as _realized  # noqa: E402, F401
 from . import seeded as _seeded  # noqa: E402, F401
 from . import trained as _trained  # noqa: E402, F401
 from . import wired as _wired  # noqa: E402, F401
+from . import windowed as _windowed  # noqa: E402, F401
