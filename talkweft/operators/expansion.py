@@ -68,10 +68,10 @@ def topic_shifts(external: DataFrame, anchors: DataFrame, seed: str, split: str,
     return rows.select("r.current_text", "r.history", "r.domain_label", "r.capability", "r.example_kind", F.concat_ws("|", "group_id", F.lit("router-v4"), "r.tag", F.col("anchor_index").cast("string")).alias("group_id"))
 
 
-def targeted(prompts: list[str], modifiers: list[str], histories: list[str], spark) -> DataFrame:
-    """Every prompt with every modifier after every history, in that order; a small table made on the driver's side of the plan."""
-    rows = spark.createDataFrame([(i, p) for i, p in enumerate(prompts)], "p int, prompt string")
-    return rows.select("p", "prompt", F.posexplode(F.array(*[F.lit(m) for m in modifiers])).alias("m", "modifier")).select("*", F.posexplode(F.array(*[F.lit(h) for h in histories])).alias("h", "history")).select(F.concat_ws("-", "p", "m", "h").alias("id"), strip(F.concat_ws(" ", "prompt", "modifier")).alias("current_text"), "history")
+def targeted(prompts: DataFrame, key: str, modifiers: list[str], histories: list[str]) -> DataFrame:
+    """Every prompt with every modifier after every history: id of their places, current_text, history."""
+    rows = prompts.select(key, "prompt", F.posexplode(F.array(*[F.lit(m) for m in modifiers])).alias("m", "modifier")).select("*", F.posexplode(F.array(*[F.lit(h) for h in histories])).alias("h", "history"))
+    return rows.select(F.concat_ws("-", key, "m", "h").alias("id"), strip(F.concat_ws(" ", "prompt", "modifier")).alias("current_text"), "history")
 
 
 def in_order(sources: list[DataFrame], ordinal: str) -> DataFrame:
@@ -100,7 +100,11 @@ def rebound(result: Column, call: Column) -> Column:
     return F.struct(F.lit("tool").alias("role"), call["id"].alias("tool_call_id"), F.coalesce(call["name"], result["name"]).alias("name"), result["content"].alias("content"), F.lit(False).alias("loss"))
 
 
-def first_passing(attempts: DataFrame, order: str, failure: str) -> DataFrame:
-    """The first attempt without a failure, and the failures of all as one text; no candidate where every one failed."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, "candidate", failure))), lambda a: F.concat_ws(": ", a["candidate"], F.coalesce(a[failure], F.lit("passed"))))  # candidates are few
-    return attempts.agg(F.min_by(F.when(F.col(failure).isNull(), F.col("candidate")), F.when(F.col(failure).isNull(), F.col(order))).alias("candidate"), F.array_join(listed, "; ").alias("attempts"))
+def first_passing(attempts: DataFrame, by: list[str], order: str, failure: str) -> DataFrame:
+    """Of each group the first attempt without a failure (none where every one failed), and all attempts with what failed as one text.
+
+    A group's candidates are few: they are a retry list, kept in one row.
+    """
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, "candidate", failure))), lambda a: F.concat_ws(": ", a["candidate"], F.coalesce(a[failure], F.lit("passed"))))
+    passed = lambda c: F.when(F.col(failure).isNull(), F.col(c))
+    return attempts.groupBy(*by).agg(F.min_by(passed("candidate"), passed(order)).alias("candidate"), F.array_join(listed, "; ").alias("attempts"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.shared import numbered
 from .quantiles import FEW, quantiles
 from .scoring import ratio
 
@@ -76,14 +77,25 @@ def parity_failures(report: DataFrame, least_agreement: float = 0.999, most_diff
     return report.withColumn("failures", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in checks])), "; "))
 
 
-RUN = 10_000  # rows whose digests are joined at once
+RUN = 1_000  # digests that are joined at once
 
 
-def ordered_digest(df: DataFrame, order: Column, digest: Column) -> DataFrame:
-    """Digest of row digests in their order: of runs of RUN rows first, then of the runs. ``order`` counts from 0."""
-    joined = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("o"), "d"))), lambda p: p["d"]), ""), 256)
-    rows = df.select(order.alias("o"), digest.alias("d")).withColumn("run", F.floor(F.col("o") / RUN))
-    return rows.groupBy("run").agg(joined("o").alias("d"), F.count(F.lit(1)).alias("n")).agg(joined("run").alias("digest"), F.sum("n").alias("n_rows"))
+def ordered_digest(df: DataFrame, order: list, digest: Column, run: int = RUN) -> DataFrame:
+    """Digest of row digests in their order, and how many rows there are: a tree of runs of ``run`` digests.
+
+    Rows are numbered over sorted ranges; a task joins one run at a time, and each level has ``run`` times fewer rows. Rows that
+    ``order`` doesn't tell apart must be alike. No rows have the digest of the empty text.
+    """
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "d"))), lambda p: p["d"]), ""), 256).alias("d")
+    level = numbered(df.withColumn("d", F.coalesce(digest, F.lit("-"))), [*order, F.asc("d")], "row-digests", "o").select("o", "d")
+    n = level.count()
+    left = n
+    while True:
+        level = level.groupBy(F.floor(F.col("o") / run).alias("o")).agg(joined).select("o", "d")
+        left = -(-left // run)
+        if left <= 1:
+            break
+    return level.agg(F.coalesce(F.max("d"), F.sha2(F.lit(""), 256)).alias("digest"), F.lit(n).cast("long").alias("n_rows"))
 
 
 # Paths that guard against regressions, and words that a clarification must not hold.

@@ -25,13 +25,13 @@ HISTORIES = {
     "wrong": ("Tell me when my mailing-address case was opened.", "Mortgage applicants are typically at least 18."),
 }
 HELD_OUT = [
-    ("When was that created?", "case", 1, "service_cases", "context_dependent", "heldout|service-case-created"),
-    ("what is that all about? when was it created?", "case", 1, "service_cases", "context_dependent", "heldout|service-case-details"),
-    ("was the mailing address updated recently?", None, 1, "service_cases", "", "heldout|mailing-address-standalone"),
-    ("ok, thats the one i want to replace", "card", 1, "card_actions", "context_dependent,clarification_answer", "heldout|card-selection"),
-    ("why are you repeating yourself", "wrong", 1, "service_cases", "context_dependent,agent_repair", "heldout|agent-repetition-repair"),
-    ("I didn't ask about mortgage", "wrong", 1, "service_cases", "context_dependent,agent_repair,topic_shift", "heldout|wrong-topic-repair"),
-    ("what about the weather there?", "case", 0, None, "topic_shift", "heldout|weather-topic-shift"),
+    ("When was that created?", "case", 1, "service_cases", ["context_dependent"], "heldout|service-case-created"),
+    ("what is that all about? when was it created?", "case", 1, "service_cases", ["context_dependent"], "heldout|service-case-details"),
+    ("was the mailing address updated recently?", None, 1, "service_cases", [], "heldout|mailing-address-standalone"),
+    ("ok, thats the one i want to replace", "card", 1, "card_actions", ["context_dependent", "clarification_answer"], "heldout|card-selection"),
+    ("why are you repeating yourself", "wrong", 1, "service_cases", ["context_dependent", "agent_repair"], "heldout|agent-repetition-repair"),
+    ("I didn't ask about mortgage", "wrong", 1, "service_cases", ["context_dependent", "agent_repair", "topic_shift"], "heldout|wrong-topic-repair"),
+    ("what about the weather there?", "case", 0, None, ["topic_shift"], "heldout|weather-topic-shift"),
 ]
 NESTED = ("accounts", "cards", "transactions", "transfers", "service_cases")
 SHOWN = {"transfers": 3, "service_cases": 4}
@@ -72,7 +72,7 @@ def canned_result(tool: Column) -> Column:
 
 def held_out_rows(spark: SparkSession) -> DataFrame:
     """The seven regression rows of the router, test only."""
-    rows = [(i, text, *(HISTORIES[h] if h else (None, None)), domain, capability, relations.split(",") if relations else [], group) for i, (text, h, domain, capability, relations, group) in enumerate(HELD_OUT)]
+    rows = [(i, text, *(HISTORIES[h] if h else (None, None)), domain, capability, relations, group) for i, (text, h, domain, capability, relations, group) in enumerate(HELD_OUT)]
     df = spark.createDataFrame(rows, "row_no int, current string, asked string, answered string, domain_label int, capability string, relations array<string>, group_id string")
     return df.withColumns({"example_kind": F.lit("heldout_screenshot_regression"), "source": F.lit("self-authored-heldout-regression"), "source_split": F.lit("test")})
 

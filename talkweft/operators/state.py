@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import last4, norm_spaces
+from ..functions.text import norm_spaces
 
 
 def last_write(df: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
@@ -70,17 +70,6 @@ def replayed(calls: Column, cards: Column, transfers: Column) -> Column:
     return F.aggregate(calls, F.struct(cards.alias("cards"), transfers.alias("transfers")), step)
 
 
-def generated_slots(spark, n: int) -> DataFrame:
-    """Row i uses template i mod 27; its occurrence gives the state seed and the wording; card digits come from the seed."""
-    from .generator import TEMPLATES
-
-    m = len(TEMPLATES)
-    rows = spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") % m).alias("template_no"), F.floor(F.col("id") / m).alias("occurrence"))
-    path = F.element_at(F.array(*[F.lit("faq" if t[3] == "no_tool_banking_faq" else t[3]) for t in TEMPLATES]), (F.col("template_no") + 1).cast("int"))
-    rows = rows.select("*", path.alias("path"), F.floor(F.col("occurrence") / 3).alias("state_seed"), (F.col("occurrence") % 3).alias("realization"))
-    return rows.withColumn("card_last4", last4(F.col("state_seed"), 1))
-
-
 def ordered_turn_violations(messages: DataFrame) -> DataFrame:
     """conv_id with the list of what is wrong: roles, order, blanks, no final answer, short final answer."""
     w = Window.partitionBy("conv_id").orderBy("turn")

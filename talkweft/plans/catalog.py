@@ -290,13 +290,6 @@ def positive_weights(df: DataFrame) -> DataFrame:
     return S.positive_weights(df, ["quality", "toxic"], 20.0)
 
 
-@query("embeddings", """WITH e AS (SELECT vec_id, list_slice(embedding, 1, 8)::DOUBLE[] AS s FROM embeddings), u AS (SELECT vec_id, unnest(s) AS v, generate_subscripts(s, 1) AS i FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS n FROM u)
-SELECT vec_id, string_agg((i - 1)::VARCHAR, ',' ORDER BY n) AS best FROM r WHERE n <= 3 GROUP BY 1""")
-def top_candidates(df: DataFrame) -> DataFrame:
-    best = T.top_k(F.slice("embedding", 1, 8).cast("array<double>"), 3)
-    return df.select("vec_id", F.array_join(F.transform(best, lambda p: p["index"].cast("string")), ",").alias("best"))
-
-
 @query("embeddings", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS s FROM embeddings), u AS (SELECT vec_id, unnest(s) AS v, generate_subscripts(s, 1) AS i FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS n FROM u)
 SELECT vec_id, string_agg((i - 1)::VARCHAR, ',' ORDER BY n) AS best FROM r WHERE n <= 3 GROUP BY 1""")
 def top_candidates_whole(df: DataFrame) -> DataFrame:
@@ -394,9 +387,11 @@ def pending_requests(df: DataFrame) -> DataFrame:
     return R.pending(asked, done, ["conv_id", "turn"])
 
 
-@query("labels", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'missing' ELSE 'extra' END AS problem FROM labels WHERE (doc_id % 5 = 0) <> (doc_id % 7 = 0)")
-def prediction_coverage(df: DataFrame) -> DataFrame:
-    return R.coverage(df.where("doc_id % 5 = 0"), df.where("doc_id % 7 = 0"), "doc_id")
+@query("", "SELECT coalesce(l.id, p.id) AS id, CASE WHEN p.id IS NULL THEN 'missing' ELSE 'extra' END AS problem FROM (SELECT DISTINCT doc_id AS id FROM labels) l FULL JOIN (SELECT DISTINCT page_id AS id FROM pages) p ON l.id = p.id WHERE l.id IS NULL OR p.id IS NULL")
+def prediction_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Labels stand for records, pages for their predictions: ids that only one of the two tables has."""
+    table = lambda name, key: spark.read.parquet(f"{d}/{name}.parquet").select(F.col(key).alias("id"))
+    return R.coverage(table("labels", "doc_id"), table("pages", "page_id"), "id")
 
 
 @query("events", "SELECT user_id, count(*) AS n_rows FROM events GROUP BY 1 HAVING count(DISTINCT sha256(event_type)) > 1")
@@ -417,15 +412,6 @@ def replayed_state(df: DataFrame) -> DataFrame:
     return out.select("record_id", said(F.col("s.cards")).alias("cards"), said(F.col("s.transfers")).alias("transfers"))
 
 
-# By hand, in the templates' order.
-PATHS = "(list_resize([]::VARCHAR[], 9, 'tool_success') || list_resize([]::VARCHAR[], 4, 'multi_turn') || ['clarification', 'faq', 'faq', 'faq', 'faq', 'faq', 'conversation', 'conversation', 'conversation', 'ood', 'hard_negative', 'tool_error', 'tool_error', 'multi_turn'])"
-
-
-@query("", f"SELECT i AS row_id, i % 27 AS template_no, i // 27 AS occurrence, {PATHS}[i % 27 + 1] AS path, i // 27 // 3 AS state_seed, i // 27 % 3 AS realization, (1000 + (i // 27 // 3 + 997) % 9000)::VARCHAR AS card_last4 FROM range(9000) r(i)")
-def generated_slots(spark: SparkSession, d: str) -> DataFrame:
-    return R.generated_slots(spark, 9000)
-
-
 from . import contracted as _contracted  # noqa: E402, F401  (these register their queries)
 from . import evaluated as _evaluated  # noqa: E402, F401
 from . import expanded as _expanded  # noqa: E402, F401

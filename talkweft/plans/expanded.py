@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import expansion as X
@@ -54,12 +54,14 @@ def topic_shifts(df: DataFrame) -> DataFrame:
     return X.topic_shifts(outside, _anchors(df), "7", "test", "doc_id").withColumn("history", F.array_join(W.plain_lines(F.col("history")), "|"))
 
 
-_P, _M, _H = ["show my case", "when was it made", "is it open"], ["", "please", "now", "again"], ["case", "card"]
+_M, _H = ["", "please", "now", "again"], ["case", "card"]
 
 
-@query("", f"SELECT (i - 1) || '-' || (j - 1) || '-' || (k - 1) AS id, trim(p || ' ' || m) AS current_text, h AS history FROM (SELECT unnest({_list(_P)}) AS p, generate_subscripts({_list(_P)}, 1) AS i), (SELECT unnest({_list(_M)}) AS m, generate_subscripts({_list(_M)}, 1) AS j), (SELECT unnest({_list(_H)}) AS h, generate_subscripts({_list(_H)}, 1) AS k)")
-def targeted_rows(spark: SparkSession, d: str) -> DataFrame:
-    return X.targeted(_P, _M, _H, spark)
+@query("conversations", f"SELECT conv_id || '-' || (j - 1) || '-' || (k - 1) AS id, regexp_replace(p || ' ' || m, '^\\s+|\\s+$', '', 'g') AS current_text, h AS history FROM (SELECT conv_id, min_by(text, turn) AS p FROM conversations WHERE role = 'user' GROUP BY 1), (SELECT unnest({_list(_M)}) AS m, generate_subscripts({_list(_M)}, 1) AS j), (SELECT unnest({_list(_H)}) AS h, generate_subscripts({_list(_H)}, 1) AS k)")
+def targeted_rows(df: DataFrame) -> DataFrame:
+    """The first question of every conversation as a prompt."""
+    prompts = df.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
+    return X.targeted(prompts, "conv_id", _M, _H)
 
 
 @query("documents", "SELECT doc_id, lang, row_number() OVER (ORDER BY CASE lang WHEN 'es' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, doc_id) AS place FROM documents WHERE lang IN ('es', 'de', 'fr')")
@@ -105,10 +107,12 @@ def pii_conversations(df: DataFrame) -> DataFrame:
     return lists.agg(*[F.count_if(has_pii(F.col("x"), k)).alias(k) for k in _THREE]).unpivot([], list(_THREE), "pattern", "n_rows")
 
 
-@query("labels", "SELECT 'b' AS candidate, 'a: argmax agreement; b: passed; c: passed' AS attempts")
+@query("conversations", "WITH a AS (SELECT conv_id, turn, 'turn ' || turn AS candidate, CASE WHEN length(text) % 3 <> 0 THEN 'length ' || length(text) END AS failure FROM conversations WHERE role = 'assistant') SELECT conv_id, min_by(candidate, turn) FILTER (failure IS NULL) AS candidate, string_agg(candidate || ': ' || coalesce(failure, 'passed'), '; ' ORDER BY turn) AS attempts FROM a GROUP BY 1")
 def first_passing(df: DataFrame) -> DataFrame:
-    attempts = df.sparkSession.createDataFrame([(2, "c", None), (0, "a", "argmax agreement"), (1, "b", None)], "no int, candidate string, failure string")
-    return X.first_passing(attempts, "no", "failure")
+    """A conversation's answers are its candidates; a length that three doesn't divide fails one."""
+    length = F.char_length("text")
+    attempts = df.where("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("turn "), "turn").alias("candidate"), F.when(length % 3 != 0, F.concat(F.lit("length "), length)).alias("failure"))
+    return X.first_passing(attempts, ["conv_id"], "turn", "failure")
 
 
 @query("conversations", "SELECT conv_id, turn, upper(role) || ':' || length(text) AS raw_output, length(text)::BIGINT AS n_tokens, CASE WHEN length(text) % 2 = 1 THEN 'odd' END AS failure FROM conversations")

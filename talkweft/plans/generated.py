@@ -1,75 +1,48 @@
-"""Registered queries of the generator and of checks on what it makes, with their SQL."""
+"""Registered queries of checks on records, answers and message lists, with their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..operators import generator as G
 from ..operators import validation as V
 from .catalog import query
 
-N = 9000  # the count of a release
-
-
-def _list(values: list[str]) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-def _pick(values: list[str], seed: str) -> str:
-    return f"{_list(values)}[({seed}) % {len(values)} + 1]"
-
-
-_T = ", ".join("(" + ", ".join([str(i), *["'" + c.replace("'", "''") + "'" for c in t]]) + ")" for i, t in enumerate(G.TEMPLATES))
-_usd = lambda c: f"format('{{:,.2f}}', {c} / 100.0::DOUBLE)"
-_SLOTTED = f"""WITH t AS (SELECT * FROM (VALUES {_T}) v(no, scenario, family, template_id, path, tools, own_facts, own_answer)),
-r AS (SELECT i AS row_id, i // 27 AS o, i // 27 // 3 AS s, t.*, ('0x' || substr(sha256(scenario || ':' || (i // 27 // 3)), 1, 12))::BIGINT AS k FROM range({N}) x(i) JOIN t ON t.no = i % 27),
-s AS (SELECT *, {_pick(G.FIRST_NAMES, 'k')} || ' ' || {_pick(G.LAST_NAMES, 'k // 9')} AS display_name, {_pick(G.CITIES, 'k')} AS city, {_pick(G.CHECKING, 'k')} AS checking_name, (1000 + (k + 10967) % 9000)::VARCHAR AS checking_last4, 75000 + k % 420000 AS checking_available, 79500 + k % 420000 AS checking_current,
-{_pick(G.SAVINGS, 'k // 3')} AS savings_name, (1000 + (k + 22931) % 9000)::VARCHAR AS savings_last4, 250000 + (k // 3) % 1900000 AS savings_available, {_pick(G.CARDS, 'k // 5')} AS card_name, (1000 + (k + 36889) % 9000)::VARCHAR AS card_last4,
-{_pick(G.MERCHANTS, 'k')} || ' ' || {_pick(G.MERCHANT_KINDS, 'k // 7')} AS merchant, {_pick(G.MERCHANTS, 'k // 11 + 3')} || ' ' || {_pick(G.MERCHANT_KINDS, 'k // 13 + 4')} AS alternate_merchant, {_pick(G.MERCHANTS, 'k // 17 + 6')} || ' ' || {_pick(G.MERCHANT_KINDS, 'k // 19 + 7')} AS missing_merchant,
--(1000 + k % 32000) AS transaction_amount, {_pick(G.RECIPIENTS, 'k')} || ' ' || {_pick(G.RECIPIENT_KINDS, 'k // 5')} AS pending_recipient, {_pick(G.RECIPIENTS, 'k // 7 + 4')} || ' ' || {_pick(G.RECIPIENT_KINDS, 'k // 11 + 3')} AS completed_recipient, 2500 + (k // 5) % 175000 AS transfer_amount,
-scenario || CASE WHEN o = 0 THEN '' ELSE '_state_' || lpad(s::VARCHAR, 4, '0') || '_realization_' || (o % 3) END AS record_id, 'state-' || scenario || '-' || lpad(s::VARCHAR, 4, '0') AS state_seed, 'cust_tool_' || scenario || '_' || lpad(s::VARCHAR, 4, '0') AS customer_id FROM r),
-a AS (SELECT *, family || '|' || state_seed || '|' || customer_id || '|' || template_id AS grp,
-CASE WHEN family = 'read_accounts' THEN 'accounts.count=2|account.last4=' || checking_last4 || '|account.last4=' || savings_last4 || '|account.balance=' || {_usd('checking_available')} || '|account.balance=' || {_usd('savings_available')} WHEN family = 'read_cards' THEN 'card.last4=' || card_last4 || '|card.status=active' WHEN family = 'read_transactions' THEN 'transaction.description=' || merchant || '|transactions.limit=3' WHEN family = 'read_transfers' THEN 'transfer.recipient=' || pending_recipient || '|transfer.status=pending'
-WHEN family IN ('card_freeze', 'multi_tool_card_action', 'emergency_card_freeze', 'action_summary_followup') THEN 'card.last4=' || card_last4 || '|card.status=frozen' WHEN family = 'card_replace' THEN 'card.last4=' || card_last4 || '|card.status=replacement_pending' WHEN family IN ('transaction_dispute', 'multi_turn_dispute') THEN 'transaction.description=' || merchant || '|transaction.disputed=true' WHEN family = 'transfer_cancel' THEN 'transfer.recipient=' || pending_recipient || '|transfer.status=cancelled' ELSE own_facts END AS facts,
-CASE WHEN tools LIKE '%freeze_card' OR tools = 'replace_card' THEN '{{"last4":"' || card_last4 || '"}}' WHEN template_id = 'dispute-missing-v1' THEN '{{"description":"' || missing_merchant || '"}}' WHEN tools = 'dispute_transaction' THEN '{{"description":"' || merchant || '"}}' WHEN template_id = 'cancel-completed-v1' THEN '{{"recipient":"' || completed_recipient || '"}}' WHEN tools = 'cancel_transfer' THEN '{{"recipient":"' || pending_recipient || '"}}' WHEN tools = 'list_transactions' THEN '{{"limit":3}}' ELSE '{{}}' END AS last_arguments,
-CASE WHEN family = 'read_accounts' THEN checking_name || ' ending in ' || checking_last4 || ' has USD ' || {_usd('checking_available')} || ' available and USD ' || {_usd('checking_current')} || ' current. ' || savings_name || ' ending in ' || savings_last4 || ' has USD ' || {_usd('savings_available')} || ' available and current.' WHEN family = 'read_cards' THEN 'Your ' || card_name || ' ending in ' || card_last4 || ' is active and available for use.' WHEN family = 'read_transactions' THEN 'Your recent transactions include ' || merchant || ', ' || alternate_merchant || ', and payroll.' WHEN family = 'read_transfers' THEN 'You have a pending transfer to ' || pending_recipient || ' and a completed transfer to ' || completed_recipient || '.'
-WHEN family = 'card_freeze' THEN 'Your debit card ending in ' || card_last4 || ' is now frozen.' WHEN family = 'card_replace' THEN 'Replacement is pending for your card ending in ' || card_last4 || '.' WHEN family IN ('transaction_dispute', 'multi_turn_dispute') THEN 'I opened a dispute for the ' || merchant || ' transaction.' WHEN family = 'transfer_cancel' THEN 'The pending transfer to ' || pending_recipient || ' is now cancelled.' WHEN family IN ('multi_tool_card_action', 'emergency_card_freeze') THEN 'I found your active debit card ending in ' || card_last4 || ' and froze it.' WHEN family = 'action_summary_followup' THEN 'I found the active debit card ending in ' || card_last4 || ' and froze it.'
-WHEN template_id = 'cancel-completed-v1' THEN 'I could not cancel a pending transfer to ' || completed_recipient || ' because no matching pending transfer was found.' WHEN template_id = 'dispute-missing-v1' THEN 'I could not open that dispute because no eligible transaction for ' || missing_merchant || ' was found.' ELSE own_answer END AS final_response FROM s),
-g AS (SELECT grp, row_number() OVER (ORDER BY sha256('711' || chr(10) || grp)) AS n, greatest(1, round_even(count(*) OVER () * 0.15, 0)) AS m FROM (SELECT DISTINCT grp FROM a)),
-f AS (SELECT a.*, CASE WHEN n <= m THEN 'validation' WHEN n <= 2 * m THEN 'test' ELSE 'train' END AS split FROM a JOIN g USING (grp))"""
-_SLOTS = ["display_name", "city", "checking_name", "checking_last4", "checking_available", "checking_current", "savings_name", "savings_last4", "savings_available", "card_name", "card_last4", "merchant", "alternate_merchant", "missing_merchant", "transaction_amount", "pending_recipient", "completed_recipient", "transfer_amount"]
-
-
-@query("", _SLOTTED + f" SELECT row_id, record_id, path, state_seed, customer_id, scenario || '.' || lpad(s::VARCHAR, 4, '0') || '.demo' AS login, {', '.join(_SLOTS)}, split, facts, final_response, CASE WHEN tools = '' THEN '' WHEN contains(tools, ',') THEN 'call_' || record_id || '_0:list_cards:{{}};call_' || record_id || '_1:freeze_card:' || last_arguments ELSE 'call_' || record_id || '_0:' || tools || ':' || last_arguments END AS calls FROM f".replace("{{}}", "{}"))
-def generated_records(spark: SparkSession, d: str) -> DataFrame:
-    rows = G.generated_records(spark, N)
-    said = F.array_join(F.transform("calls", lambda c: F.concat_ws(":", c["id"], c["name"], c["arguments"])), ";")
-    return rows.select("row_id", "record_id", "path", "state_seed", "customer_id", "login", *_SLOTS, "split", F.array_join("facts", "|").alias("facts"), "final_response", said.alias("calls"))
-
-
-@query("", _SLOTTED + " SELECT split, path, count(*) AS n_records, count(DISTINCT grp) AS n_groups, count(*) FILTER (tools <> '') AS n_requires_tool, sum(CASE WHEN tools = '' THEN 0 WHEN contains(tools, ',') THEN 2 ELSE 1 END)::BIGINT AS n_calls FROM f GROUP BY ALL")
-def generated_report(spark: SparkSession, d: str) -> DataFrame:
-    return G.generated_records(spark, N).groupBy("split", "path").agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct("split_group").alias("n_groups"), F.count_if(F.size("calls") > 0).alias("n_requires_tool"), F.sum(F.size("calls")).alias("n_calls"))
-
-
-@query("", _SLOTTED + r""", b AS (SELECT record_id, path, template_id, family, tools, CASE WHEN row_id % 17 = 0 THEN 'Too short an answer.' ELSE final_response END AS said FROM f), n AS (SELECT *, trim(regexp_replace(lower(said), '[^a-z0-9]+', ' ', 'g')) AS x FROM b)
-SELECT record_id, concat_ws('; ', CASE WHEN len(string_split(x, ' ')) < 7 THEN 'final assistant response is missing semantic content' END,
-CASE WHEN (path = 'clarification' AND NOT contains(x, 'last four digits')) OR (path = 'ood' AND NOT contains(x, 'retail banking')) OR (path = 'hard_negative' AND NOT (contains(x, 'account numbers') AND contains(x, 'customer ids'))) OR (template_id = 'faq-overdraft-v1' AND NOT contains(x, 'overdraft')) OR (template_id = 'faq-mortgage-opening-v1' AND NOT (contains(x, 'mortgage') AND contains(x, 'cannot open'))) OR (template_id = 'faq-mortgage-age-v1' AND NOT (contains(x, 'mortgage') AND contains(x, '18') AND contains(x, 'cannot determine'))) OR (template_id = 'faq-deposit-opening-v1' AND NOT (contains(x, 'account') AND contains(x, 'cannot open'))) OR (template_id = 'faq-savings-interest-v1' AND NOT contains(x, 'interest')) THEN 'final assistant response is missing path markers' END) AS violations FROM n""")
-def answer_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Each 17th answer is replaced, so that there is something to find."""
-    rows = G.generated_records(spark, N)
-    said = F.when(F.col("row_id") % 17 == 0, "Too short an answer.").otherwise(F.col("final_response"))
-    return rows.select("record_id", F.array_join(V.answer_violations(said, F.col("path"), F.col("template_id")), "; ").alias("violations"))
-
-
-_SPLITS = ["train", "validation", "test"]
-
-
-@query("", _SLOTTED + """ SELECT 'all_tools_covered' AS gate, (SELECT count(DISTINCT x) FROM (SELECT unnest(string_split(tools, ',')) AS x FROM f) WHERE x <> '') = 9 AS passed UNION ALL SELECT 'ok_present', count(*) FILTER (tools <> '' AND path <> 'tool_error') > 0 FROM f UNION ALL SELECT 'error_present', count(*) FILTER (path = 'tool_error') > 0 FROM f UNION ALL SELECT 'required_paths', count(DISTINCT path) FILTER (path IN ('tool_success', 'tool_error', 'clarification', 'no_tool_banking_faq', 'ood', 'hard_negative', 'multi_turn')) = 7 FROM f UNION ALL SELECT 'no_empty_split', count(DISTINCT split) = 3 FROM f UNION ALL SELECT 'unique_records', count(*) = count(DISTINCT record_id) FROM f""")
-def corpus_gates(spark: SparkSession, d: str) -> DataFrame:
-    return V.corpus_gates(G.generated_records(spark, N), _SPLITS)
+_PATHS = ["clarification", "ood", "hard_negative", "no_tool_banking_faq", "tool_success"]
+_TEMPLATES = list(V.FAQ_MARKERS)
+_ADDED = ["", " Please share the last four digits.", " I only help with retail banking.", " I never show account numbers or customer IDs.", " A mortgage at 18: cannot determine.", " Overdraft!", " Interest on an account; you cannot open it here."]
+_list = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+_marks = lambda key, rules: " OR ".join(f"({key} = '{k}' AND NOT ({' AND '.join(f"contains(x, '{m}')" for m in marks)}))" for k, marks in rules.items())
+
+
+@query("conversations", rf"""WITH a AS (SELECT conv_id, arg_max(CASE WHEN conv_id % 6 = 5 THEN split_part(text, ' ', 1) ELSE text END, turn) || {_list(_ADDED)}[conv_id % {len(_ADDED)} + 1] AS said, {_list(_PATHS)}[conv_id // 2 % {len(_PATHS)} + 1] AS path, {_list(_TEMPLATES)}[conv_id // 3 % {len(_TEMPLATES)} + 1] AS template FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+n AS (SELECT *, trim(regexp_replace(lower(said), '[^a-z0-9]+', ' ', 'g')) AS x FROM a)
+SELECT conv_id, concat_ws('; ', CASE WHEN len(list_filter(string_split(x, ' '), lambda w: w <> '')) < 7 THEN 'final assistant response is missing semantic content' END, CASE WHEN {_marks('path', V.PATH_MARKERS)} OR (path = 'no_tool_banking_faq' AND ({_marks('template', V.FAQ_MARKERS)})) THEN 'final assistant response is missing path markers' END) AS violations FROM n""")
+def answer_violations(df: DataFrame) -> DataFrame:
+    """The last answer of every conversation, some cut to a word, judged by a path and a template that its number gives."""
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+    c = F.col("conv_id")
+    text = F.when(c % 6 == 5, F.split_part("text", F.lit(" "), F.lit(1))).otherwise(F.col("text"))
+    last = df.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by(text, "turn").alias("said"))
+    said = F.concat("said", pick(_ADDED, c))
+    return last.select("conv_id", F.array_join(V.answer_violations(said, pick(_PATHS, F.floor(c / 2)), pick(_TEMPLATES, F.floor(c / 3))), "; ").alias("violations"))
+
+
+@query("conversations", """WITH r AS (SELECT conv_id, 'rec_' || (conv_id - CASE WHEN conv_id % 50 = 7 THEN 1 ELSE 0 END) AS record_id, CASE WHEN conv_id % 10 < 7 THEN 'train' WHEN conv_id % 10 < 8 THEN 'validation' ELSE 'test' END AS split, ['tool_success', 'tool_error', 'clarification', 'no_tool_banking_faq', 'ood', 'hard_negative', 'multi_turn'][count(*) % 7 + 1] AS path, CASE WHEN count(*) % 2 = 0 THEN ['list_accounts', 'list_cards', 'list_service_cases', 'list_transactions', 'list_transfers', 'freeze_card', 'replace_card', 'dispute_transaction', 'cancel_transfer'][conv_id % 9 + 1] END AS tool FROM conversations GROUP BY conv_id)
+SELECT 'all_tools_covered' AS gate, count(DISTINCT tool) = 9 AS passed FROM r UNION ALL SELECT 'ok_present', count(*) FILTER (tool IS NOT NULL AND path <> 'tool_error') > 0 FROM r UNION ALL SELECT 'error_present', count(*) FILTER (tool IS NOT NULL AND path = 'tool_error') > 0 FROM r UNION ALL SELECT 'required_paths', count(DISTINCT path) = 7 FROM r UNION ALL SELECT 'no_empty_split', count(DISTINCT split) = 3 FROM r UNION ALL SELECT 'unique_records', count(*) = count(DISTINCT record_id) FROM r""")
+def corpus_gates(df: DataFrame) -> DataFrame:
+    """A record for each conversation: its path is read off its length, its tool off its number; some ids repeat."""
+    c, n = F.col("conv_id"), F.col("n")
+    tools = ["list_accounts", "list_cards", "list_service_cases", "list_transactions", "list_transfers", "freeze_card", "replace_card", "dispute_transaction", "cancel_transfer"]
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+    call = F.struct(pick(tools, c).alias("name"))
+    rows = df.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).select(
+        F.concat(F.lit("rec_"), (c - F.when(c % 50 == 7, 1).otherwise(0)).cast("string")).alias("record_id"),
+        F.when(c % 10 < 7, "train").when(c % 10 < 8, "validation").otherwise("test").alias("split"),
+        pick(["tool_success", "tool_error", "clarification", "no_tool_banking_faq", "ood", "hard_negative", "multi_turn"], n).alias("path"),
+        F.when(n % 2 == 0, F.array(call)).otherwise(F.array().cast("array<struct<name:string>>")).alias("calls"),
+    )
+    return V.corpus_gates(rows, ["train", "validation", "test"])
 
 
 _FX = V.FIXTURES

@@ -58,14 +58,6 @@ def canned_results(df: DataFrame) -> DataFrame:
     return df.select("doc_id", R.canned_result(tool).alias("content"))
 
 
-@query("", """SELECT * FROM (VALUES (0, 'When was that created?', 1, 'service_cases', 'context_dependent', 'heldout|service-case-created', 'Show my recent service cases.'), (1, 'what is that all about? when was it created?', 1, 'service_cases', 'context_dependent', 'heldout|service-case-details', 'Show my recent service cases.'),
-(2, 'was the mailing address updated recently?', 1, 'service_cases', '', 'heldout|mailing-address-standalone', NULL), (3, 'ok, thats the one i want to replace', 1, 'card_actions', 'context_dependent,clarification_answer', 'heldout|card-selection', 'Show me the cards on my profile.'),
-(4, 'why are you repeating yourself', 1, 'service_cases', 'context_dependent,agent_repair', 'heldout|agent-repetition-repair', 'Tell me when my mailing-address case was opened.'), (5, 'I didn''t ask about mortgage', 1, 'service_cases', 'context_dependent,agent_repair,topic_shift', 'heldout|wrong-topic-repair', 'Tell me when my mailing-address case was opened.'),
-(6, 'what about the weather there?', 0, NULL, 'topic_shift', 'heldout|weather-topic-shift', 'Show my recent service cases.')) t(row_no, current, domain_label, capability, relations, group_id, asked)""")
-def regression_rows(spark: SparkSession, d: str) -> DataFrame:
-    return R.held_out_rows(spark).select("row_no", "current", "domain_label", "capability", F.array_join("relations", ",").alias("relations"), "group_id", "asked")
-
-
 @query("labels", """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'sign-in secrets must be a JSON object' WHEN 1 THEN 'sign-in secrets must define exactly the demo users' WHEN 2 THEN 'each demo password must contain at least 12 characters' WHEN 3 THEN 'demo accounts must use different passwords' WHEN 4 THEN 'each demo password must contain at least 12 characters' END AS problem FROM labels""")
 def secret_checks(df: DataFrame) -> DataFrame:
     k, long_ = F.col("doc_id") % 6, F.lpad(F.col("doc_id").cast("string"), 12, "p")
