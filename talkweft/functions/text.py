@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,9 +19,33 @@ CREDENTIAL_REQUEST = r"(?i)\b(account number|customer id|password|pin|verify you
 TOOL_BLOCK = r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"
 
 
+WHITE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # what counts as white space, of any script
+
+
 def strip(c: Column) -> Column:
     """White space off both ends, line breaks included."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+
+
+@lru_cache(maxsize=1)
+def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """How letters fold, read off the Unicode tables at hand: those that become one letter (from, to), and those that become several."""
+    each = [(c, c.casefold()) for c in map(chr, range(sys.maxunicode + 1)) if c != c.casefold()]
+    one = [(a, b) for a, b in each if len(b) == 1]
+    return "".join(a for a, _ in one), "".join(b for _, b in one), tuple((a, b) for a, b in each if len(b) > 1)
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding: as ``lower``, but for letters that lower case keeps apart (ß and ss, final sigma, ligatures).
+
+    ASCII texts, which are most, are only lowered; letters that fold into several are replaced where a text has one.
+    """
+    before, after, several = _folds()
+    folded = F.translate(c, before, after)
+    known = F.create_map(*[F.lit(x) for pair in several for x in pair])
+    spread = F.array_join(F.transform(F.split(folded, ""), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+    rare = F.translate(c, "".join(a for a, _ in several), "") != c
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).when(rare, spread).otherwise(folded)
 
 
 def norm_ascii(c: Column) -> Column:
@@ -32,8 +59,8 @@ def norm_unicode(c: Column) -> Column:
 
 
 def norm_spaces(c: Column) -> Column:
-    """Lower case with white space collapsed; punctuation stays."""
-    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    """Case folded, with white space collapsed; punctuation stays."""
+    return F.trim(F.regexp_replace(casefold(c), f"{WHITE}+", " "))
 
 
 def words(c: Column) -> Column:

@@ -124,6 +124,11 @@ def normalized_texts(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.sha2(T.norm_ascii(F.col("text")), 256).alias("norm_ascii"), F.sha2(T.norm_unicode(F.col("text")), 256).alias("norm_unicode"))
 
 
+@query("documents", r"SELECT doc_id, sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\s\x0B\x1C-\x1F\x{85}\x{A0}]+', ' ', 'g'))) AS folded FROM documents")
+def folded_texts(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.sha2(T.norm_spaces(F.col("text")), 256).alias("folded"))
+
+
 @query("documents", rf"SELECT sha256({NORM_B}) AS text_key, count(*) AS n_rows, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def repeated_texts(df: DataFrame) -> DataFrame:
     return df.groupBy(F.sha2(T.norm_unicode(F.col("text")), 256).alias("text_key")).agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("first_id")).where("n_rows > 1")
