@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,10 +12,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import talkweft
+from talkweft.sources.shared import numbered, shared_folder
+
+__all__ = ["numbered", "shared_folder"]  # besides what is defined here
 
 # Functions of this package travel to the workers whole, so that executors need no copy of it.
 cloudpickle.register_pickle_by_value(talkweft)
@@ -26,18 +28,6 @@ SLICE_BYTES = 4 << 20  # texts of an Arrow batch that are Python objects at a ti
 BATCH_BYTES = 8 << 20  # an Arrow batch between JVM and Python (one row at least), where the session sets no other size
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="talkweft-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here, and a lost executor costs nothing."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
@@ -65,21 +55,6 @@ def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> Da
     return docs.join(ids, key, how)
 
 
-def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """``df`` written in ``order``, with ``number`` (0, 1, ...) over all partitions: sorted ranges, and the sizes of those before each.
-
-    Rows that ``order`` doesn't tell apart are numbered in any order. Only one row a range meets in one task.
-    """
-    ranges = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
-    table = written(ranges.withColumn("_at", F.monotonically_increasing_id()), name)
-    part = F.shiftright("_at", 33)
-    sizes = table.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sizes.select("_part", before.alias("_start")))
-    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return table.withColumn("_part", part).join(starts, "_part").withColumn("number", F.col("_start") + at).drop("_part", "_start", "_at")
-
-
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Runs of rows of a batch whose strings and binaries stay within SLICE_BYTES together, or single rows."""
     size = np.zeros(batch.num_rows, np.int64)

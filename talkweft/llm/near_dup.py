@@ -28,6 +28,7 @@ are shingled whole; an empty table gives no rows; other columns are not read, so
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, _arrow_schema, by_ids, forget, map_arrow, map_batches, release, shuffle_partitions, slices, written
+from .near_dup_exact import wanted_pairs
 
 SHINGLE, SHARE = 2, 80  # words a shingle; hundredths of the union that a link needs in common
 COORDS, MATCHES, BAND = 64, 38, 4
@@ -367,8 +369,8 @@ def _sketched(wanted: DataFrame, known: DataFrame, docs: DataFrame, width: int,
     return wide.union(map_batches(pairs.join(left, "x").join(right, "comp").select("x", "comp", "l", "r"), make, "x long, comp long").distinct())
 
 
-def _confirmed_against(wanted: DataFrame, known: DataFrame, docs: DataFrame, width: int, share: int) -> DataFrame:
-    """A link (a, b) for every x and comp of ``wanted`` that have one."""
+def _confirmed_against(wanted: DataFrame, known: DataFrame, docs: DataFrame, width: int, share: int, least: int = MATCHES) -> DataFrame:
+    """A link (a, b) for every x and comp of ``wanted`` that have one; classes that agree on fewer than ``least`` coordinates aren't held against each other."""
     n = wanted.groupBy("comp").agg(F.count(F.lit(1)).alias("n_x"))
     sizes = written(n.join(known.where("rep = comp").select("comp", "members"), "comp").select("comp", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_x") / (4 * BLOCK)).cast("int").alias("parts")), "sizes")
     doc = known.select("rep", F.col("n_shingles").alias("n"), "sig")
@@ -401,7 +403,7 @@ def _confirmed_against(wanted: DataFrame, known: DataFrame, docs: DataFrame, wid
                     continue
                 table = table or (np.array(counts), np.stack(sigs))
                 same = (table[1] == own).sum(1)
-                fits = np.flatnonzero((same >= MATCHES) & (100 * table[0] >= share * n) & (100 * n >= share * table[0]))
+                fits = np.flatnonzero((same >= least) & (100 * table[0] >= share * n) & (100 * n >= share * table[0]))
                 words = shingles(text, width) if len(fits) else set()
                 for k in fits[np.argsort(-same[fits], kind="stable")].tolist():
                     if not isinstance(sets[k], set):
@@ -416,8 +418,12 @@ def _confirmed_against(wanted: DataFrame, known: DataFrame, docs: DataFrame, wid
     return map_arrow(dealt.select("comp", "m", "p", "side", "rep", "n", "sig", "text"), run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, share: int = SHARE) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, share: int = SHARE, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``.
+
+    With ``exact`` candidates come from whole shingle sets (``near_dup_exact``) in place of signatures and sketches: no link is
+    missed, at the cost of posting a fifth of all shingles.
+    """
     sets = written(document_sets(docs, width), "sets")
     some = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"), F.min("n_shingles").alias("n_shingles")), "classes")
@@ -429,9 +435,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, share: int = SHARE) -
         first = F.broadcast(first)
     known = classes.join(first, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"), "n_shingles", "sig")
     known = written(known, "first-components")
-    wanted = written(_joined(known, share), "joined")
-    wanted = written(_sketched(wanted, known, docs, width, share), "sketched")
-    more = _confirmed_against(wanted, known, docs, width, share)
+    if exact:
+        wanted = written(wanted_pairs(known, docs, lambda: partial(hashed_set, hashes=_Hashes(), width=width), share), "joined")
+    else:
+        wanted = written(_sketched(written(_joined(known, share), "joined"), known, docs, width, share), "sketched")
+    more = _confirmed_against(wanted, known, docs, width, share, 0 if exact else MATCHES)
     final = components(links.union(written(more, "links")))
     label = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
     ids = sets.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
