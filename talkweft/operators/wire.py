@@ -51,32 +51,62 @@ def need(holds: bool, message: str) -> None:
         raise Refused(message)
 
 
-def value_problem(value: object, schema: dict) -> str | None:
-    """How a value breaks its schema: type, bounds, enum; null if it doesn't."""
-    kinds = schema.get("type", [])
-    kinds = {kinds} if isinstance(kinds, str) else set(kinds)
+def value_problem(value: object, schema: object) -> tuple[str, str] | None:
+    """How a value breaks its schema: which rule (type, minimum, maximum, enum), and what a type should be; null if it doesn't.
+
+    A schema that is no object asks nothing; an integer is a number too, a boolean neither.
+    """
+    if not isinstance(schema, dict):
+        return None
+    kinds = schema.get("type")
+    kinds = {kinds} if isinstance(kinds, str) else {str(k) for k in kinds} if isinstance(kinds, (list, tuple)) else set()
     own = KINDS[type(value)]
     if kinds and own not in kinds and not (own == "integer" and "number" in kinds):
-        return f"expected {sorted(kinds)}, got {own}"
+        return "type", f"expected {sorted(kinds)}, got {own}"
     if own in ("integer", "number"):
-        if value < schema.get("minimum", value):
-            return "below minimum"
-        if value > schema.get("maximum", value):
-            return "above maximum"
-    return "not in enum" if "enum" in schema and value not in schema["enum"] else None
+        for rule, broken in (("minimum", lambda m: value < m), ("maximum", lambda m: value > m)):
+            if schema.get(rule) is not None and broken(schema[rule]):
+                return rule, ""
+    return ("enum", "") if schema.get("enum") is not None and value not in schema["enum"] else None
+
+
+# What the strict parse says of a value.
+VALUE_MESSAGES = {
+    "type": "invalid type for {place}: {detail}",
+    "minimum": "value below minimum for {place}",
+    "maximum": "value above maximum for {place}",
+    "enum": "value not in enum for {place}",
+}
+
+
+def schema_problem(tool: str, schema: dict) -> str | None:
+    """What keeps a schema from being that of an object with named properties; null if nothing does."""
+    if schema.get("type", "object") != "object":
+        return f"tool schema for {tool} must be an object"
+    if not isinstance(schema.get("properties", {}), dict):
+        return f"tool schema for {tool} has invalid properties"
+    if not isinstance(schema.get("required", []), (list, tuple)):
+        return f"tool schema for {tool} has invalid required list"
+    return None
 
 
 def arguments_problem(tool: str, arguments: dict, schema: dict) -> str | None:
-    """First way in which arguments break an object schema: required, unknown, then values in their order."""
+    """First way in which arguments break an object schema: the schema itself, required, unknown, then values in their order."""
+    wrong = schema_problem(tool, schema)
+    if wrong:
+        return wrong
     known = schema.get("properties", {})
     missing = [n for n in schema.get("required", ()) if n not in arguments]
-    unknown = sorted(set(arguments) - set(known))
     if missing:
         return f"missing required arguments for {tool}: {missing}"
+    unknown = sorted({str(k) for k in arguments} - {str(k) for k in known})
     if unknown and schema.get("additionalProperties", True) is False:
         return f"unsupported arguments for {tool}: {unknown}"
-    found = ((n, value_problem(v, known[n])) for n, v in arguments.items() if n in known)
-    return next((f"{tool}.{n}: {p}" for n, p in found if p), None)
+    for name, value in arguments.items():
+        found = value_problem(value, known.get(name))
+        if found:
+            return VALUE_MESSAGES[found[0]].format(place=f"{tool}.{name}", detail=found[1])
+    return None
 
 
 SCHEMAS = {n: {"properties": p, "additionalProperties": False} for n, (_, p) in TOOLS.items()}
@@ -85,9 +115,10 @@ SCHEMAS = {n: {"properties": p, "additionalProperties": False} for n, (_, p) in
 def checked_calls(calls: list[tuple]) -> list[tuple]:
     """Calls (id, index, name, arguments) whose ids differ, whose indexes count from 0, and whose arguments fit their tool."""
     for place, (call_id, index, name, arguments) in enumerate(calls):
-        need(call_id not in [c[0] for c in calls[:place]], "duplicate tool call id")
+        need(call_id not in [c[0] for c in calls[:place]], f"duplicate tool call id: {call_id}")
         need(index == place, "tool call indexes must be ordered from zero")
-        need(name in TOOLS, "unknown tool name")
+        need(name in TOOLS, f"unknown tool name: {name}")
+        need(isinstance(arguments, dict), f"tool arguments for {name} must be a JSON object")
         problem = arguments_problem(name, arguments, SCHEMAS[name])
         need(problem is None, problem or "")
     return calls
@@ -142,6 +173,9 @@ def read_wire(raw: str) -> tuple[str | None, list[tuple]]:
     return str(payload["content"]), []
 
 
+SERVING_WORDS = {"type": "invalid type for", "minimum": "value below minimum for", "maximum": "value above maximum for"}  # fixed values: likewise of the serving parse
+
+
 def read_serving(raw: str, turn: str | None) -> tuple[str | None, list[tuple]]:
     """Calls of the tagged blocks; text around them is passed over."""
     blocks = re.findall(TOOL_BLOCK, raw)
@@ -165,8 +199,9 @@ def read_serving(raw: str, turn: str | None) -> tuple[str | None, list[tuple]]:
         need(call_id not in ids[:place], "model tool-call IDs must be unique")
         need(name in TOOLS, f"model selected unsupported tool: {name}")
         need(not set(arguments) - set(TOOLS[name][1]), f"model supplied unsupported arguments for {name}")
-        problem = next((f"{name}.{n}: {p}" for n, p in ((n, value_problem(v, TOOLS[name][1][n])) for n, v in arguments.items()) if p), None)
-        need(problem is None, problem or "")
+        for n, v in arguments.items():
+            rule = (value_problem(v, TOOLS[name][1][n]) or ("",))[0]
+            need(rule not in SERVING_WORDS, f"model supplied {SERVING_WORDS.get(rule)} {name}.{n}")
     return (None if calls else raw), calls
 
 
@@ -263,14 +298,14 @@ FIXTURES: list[tuple[str, str, str, str, str]] = [
     (_B % "[1]", "tool_call block must contain a JSON object", "", "model tool call must be a JSON object", ""),
     (_B % '{"name": " ", "arguments": {}}', "tool call requires a function name", "", "model tool call requires a function name", ""),
     (_B % '{"name": "list_cards"}', "tool call arguments must be a JSON object", "", "model tool-call arguments must be an object", ""),
-    (_B % '{"name": "pay", "arguments": {}}', "unknown tool name", "", "model selected unsupported tool: pay", ""),
+    (_B % '{"name": "pay", "arguments": {}}', "unknown tool name: pay", "", "model selected unsupported tool: pay", ""),
     (_B % '{"name": "list_cards", "arguments": {"pin": 1}}', "unsupported arguments for list_cards: ['pin']", "", "model supplied unsupported arguments for list_cards", ""),
-    (_B % '{"name": "list_transactions", "arguments": {"limit": 0}}', "list_transactions.limit: below minimum", "", "list_transactions.limit: below minimum", ""),
-    (_B % '{"name": "list_transactions", "arguments": {"limit": 21}}', "list_transactions.limit: above maximum", "", "list_transactions.limit: above maximum", ""),
-    (_B % '{"name": "list_transactions", "arguments": {"limit": true}}', "list_transactions.limit: expected ['integer'], got boolean", "", "list_transactions.limit: expected ['integer'], got boolean", ""),
-    (_B % '{"name": "freeze_card", "arguments": {"last4": 4821}}', "freeze_card.last4: expected ['null', 'string'], got integer", "", "freeze_card.last4: expected ['null', 'string'], got integer", ""),
+    (_B % '{"name": "list_transactions", "arguments": {"limit": 0}}', "value below minimum for list_transactions.limit", "", "model supplied value below minimum for list_transactions.limit", ""),
+    (_B % '{"name": "list_transactions", "arguments": {"limit": 21}}', "value above maximum for list_transactions.limit", "", "model supplied value above maximum for list_transactions.limit", ""),
+    (_B % '{"name": "list_transactions", "arguments": {"limit": true}}', "invalid type for list_transactions.limit: expected ['integer'], got boolean", "", "model supplied invalid type for list_transactions.limit", ""),
+    (_B % '{"name": "freeze_card", "arguments": {"last4": 4821}}', "invalid type for freeze_card.last4: expected ['null', 'string'], got integer", "", "model supplied invalid type for freeze_card.last4", ""),
     (_B % '{"name": "freeze_card", "arguments": {"last4": null}}', "", "freeze_card", "", "freeze_card"),
-    (_B % '{"id": "a", "name": "list_cards", "arguments": {}}' * 2, "duplicate tool call id", "", "model tool-call IDs must be unique", ""),
+    (_B % '{"id": "a", "name": "list_cards", "arguments": {}}' * 2, "duplicate tool call id: a", "", "model tool-call IDs must be unique", ""),
     (_B % '{"name": "list_cards", "arguments": {}, "index": 1}', "tool call indexes must be ordered from zero", "", "model tool-call indexes must be ordered from zero", ""),
     (_B % '{"name": "list_cards", "arguments": {}}' * 9, "", "list_cards," * 8 + "list_cards", "model returned more than 8 tool calls", ""),
 ]
