@@ -6,13 +6,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _url_levels(i: int) -> str:
-    on = " AND ".join(["t.host = w.host", *[f"t.t{k} = w.t{k}" for k in range(i)], f"t.s{i} = w.s{i}"])
+    """What merges below the prefixes of one level: shares in order, each against the group before it."""
     keys = ", ".join(["host", *[f"t{k}" for k in range(i)]])
+    same = lambda x, y: " AND ".join(f"{x}.{k} = {y}.{k}" for k in keys.split(", "))
+    pooled = "((gb + r.b) / (gn + r.n)::DOUBLE)"
+    z = f"abs(gb / gn::DOUBLE - r.b / r.n::DOUBLE) / sqrt(greatest({pooled} * (1 - {pooled}), 1e-9) * (1.0::DOUBLE / gn + 1.0::DOUBLE / r.n))"
     return f"""
-b{i} AS (SELECT {keys}, s{i}, sum(bad) AS b, sum(bad + good) AS n FROM tree{i} WHERE s{i} <> chr(1) GROUP BY ALL),
-k{i} AS (SELECT {keys}, count(*) AS kids, sum(b) FILTER (n >= 5) AS kb, sum(n) FILTER (n >= 5) AS kn FROM b{i} GROUP BY ALL),
-w{i} AS (SELECT {keys}, s{i} FROM b{i} JOIN k{i} USING ({keys}) WHERE kids > 64 OR (n >= 5 AND kn - n >= 5 AND abs(b / n::DOUBLE - (kb - b) / (kn - n)::DOUBLE) / sqrt(greatest((kb / kn::DOUBLE) * (1 - kb / kn::DOUBLE), 1e-9) * (1.0::DOUBLE / n + 1.0::DOUBLE / (kn - n))) < 2)),
-tree{i + 1} AS (SELECT t.*, CASE WHEN w.host IS NULL THEN t.s{i} ELSE '*' END AS t{i} FROM tree{i} t LEFT JOIN w{i} w ON {on}),"""
+b{i} AS (SELECT {keys}, s{i} AS s, sum(bad) AS b, sum(bad + good) AS n, count(*) OVER (PARTITION BY {keys}) AS kids FROM tree{i} WHERE s{i} <> chr(1) GROUP BY {keys}, s{i}),
+r{i} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY b / n::DOUBLE, s) AS k FROM b{i} WHERE n >= 5 AND kids <= 64),
+f{i} AS (SELECT {keys}, k, s, b AS gb, n AS gn, 1 AS g FROM r{i} WHERE k = 1 UNION ALL SELECT {", ".join("r." + k for k in keys.split(", "))}, r.k, r.s, CASE WHEN {z} < 2 THEN gb + r.b ELSE r.b END, CASE WHEN {z} < 2 THEN gn + r.n ELSE r.n END, CASE WHEN {z} < 2 THEN g ELSE g + 1 END FROM f{i} f JOIN r{i} r ON {same("f", "r")} AND r.k = f.k + 1),
+g{i} AS (SELECT {keys}, g, count(*) AS members, '{{' || string_agg(s, '|' ORDER BY s) || '}}' AS merged, max(g) OVER (PARTITION BY {keys}) AS groups FROM f{i} GROUP BY {keys}, g),
+w{i} AS (SELECT DISTINCT {keys} FROM b{i} WHERE kids > 64 UNION SELECT {keys} FROM g{i} WHERE groups = 1 AND members > 1),
+n{i} AS (SELECT f.*, merged FROM f{i} f JOIN g{i} g ON {same("f", "g")} AND f.g = g.g WHERE groups > 1 AND members > 1),
+tree{i + 1} AS (SELECT t.*, CASE WHEN t.s{i} <> chr(1) AND w.host IS NOT NULL THEN '*' ELSE coalesce(merged, t.s{i}) END AS t{i} FROM tree{i} t LEFT JOIN w{i} w ON {same("t", "w")} LEFT JOIN n{i} n ON {same("t", "n")} AND t.s{i} = n.s),"""
 
 
 def urls() -> str:
@@ -23,7 +29,7 @@ def urls() -> str:
     keys = "host, s0, s1, s2, s3, s4"
     ways = ", ".join(f"concat_ws('/', {', '.join(f't{k}' for k in range(i + 1))})" for i in range(5))
     nodes = "host, t0, t1, t2, t3, t4"
-    return rf"""WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    return rf"""WITH RECURSIVE a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hp AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
 sp AS (SELECT *, {pick(0)} AS rule, {pick(3)} AS said, string_split(regexp_replace(path, '^/', ''), '/') AS parts, try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(\.[A-Za-z]{{2,5}})?/?$', 1), '') AS BIGINT) AS document FROM hp),
 sg AS (SELECT page_id, host, path, rule, said, document, {segments} FROM sp),

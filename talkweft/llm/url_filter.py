@@ -1,10 +1,12 @@
 """URL filter: fixed rules, and a path-template tree that learns from labelled urls.
 
 A host's tree is built level by level from counts of path prefixes. A segment is generalised to ``*`` by its shape
-(digits, hex, long mixed codes); where a prefix has more than CHILDREN different branches, all of them are; and so
-is a branch whose labelled share differs from that of its siblings together by no more than chance (two-proportion
-z under MERGE_Z, MIN_OWN labelled urls on both sides). Branches that become ``*`` are one branch from there on, and
-the next level is built below them. What lies deeper than DEPTH segments is one wildcard.
+(digits, hex, long mixed codes). Below a prefix with more than CHILDREN different branches all are ``*``. Else its branches
+of MIN_OWN labelled urls are sorted by their bad share, and each joins the group before it while both differ by no more than
+chance (two-proportion z under MERGE_Z). Where all of them make one group of several, the segment says nothing: they become
+``*``, and so do their siblings without labels, known today or not. Where there are several groups, the members of each are
+one branch, ``{a|b|c}``, and branches of few labels stay by themselves. The next level is built below what was merged. What
+lies deeper than DEPTH segments is one wildcard.
 
 A url is judged by the deepest node on its way that has MIN_OWN labelled urls of its own. The node is rejected when
 the lower bound (LOWER_Z standard errors) of its purity, the labelled bad share smoothed by its host's and that by
@@ -89,19 +91,43 @@ def templates(urls: DataFrame) -> DataFrame:
     tree = written(tree, "templates")  # and after each level: the next reads it twice
     for i, (s, t) in enumerate(zip(SEGMENTS, NODES, strict=True)):
         prefix = ["host", *NODES[:i]]
-        branches = tree.where(F.col(s) != NONE).groupBy(*prefix, s).agg(F.sum("bad").alias("b"), F.sum(F.col("bad") + F.col("good")).alias("n"))
-        known = F.col("n") >= MIN_OWN
-        kin = branches.groupBy(*prefix).agg(F.count(F.lit(1)).alias("kids"), F.sum(F.when(known, F.col("b"))).alias("kb"), F.sum(F.when(known, F.col("n"))).alias("kn"))
-        rest, pooled = F.col("kn") - F.col("n"), F.try_divide(F.col("kb"), F.col("kn"))
-        gap = F.try_divide(F.col("b"), F.col("n")) - F.try_divide(F.col("kb") - F.col("b"), rest)
-        z = F.abs(gap) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.lit(1.0), rest)))
-        alike = known & (rest >= MIN_OWN) & (z < MERGE_Z)
-        wild = branches.join(kin, prefix).where((F.col("kids") > CHILDREN) | F.coalesce(alike, F.lit(False))).select(*prefix, s, F.lit("*").alias(t))
-        wild = _small(written(wild, "wildcards"))
-        tree = written(tree.join(wild, [*prefix, s], "left").withColumn(t, F.coalesce(t, s)), "templates")
+        wild, named = _merged(tree, prefix, s)
+        tree = tree.join(wild, prefix, "left").join(named, [*prefix, s], "left")
+        tree = written(tree.withColumn(t, F.when(F.col("wild") & (F.col(s) != NONE), F.lit("*")).otherwise(F.coalesce("merged", s))).drop("wild", "merged"), "templates")
     return tree
 
 
+def _chance(b1: Column, n1: Column, b2: Column, n2: Column) -> Column:
+    """Whether two shares differ by no more than chance."""
+    pooled = (b1 + b2) / (n1 + n2)
+    error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1.0 / n1 + 1.0 / n2))
+    return F.abs(b1 / n1 - b2 / n2) / error < MERGE_Z
+
+
+def _merged(tree: DataFrame, prefix: list[str], s: str) -> tuple[DataFrame, DataFrame]:
+    """Prefixes below which all is one wildcard (``wild``), and branches that are one with others (``merged``: their name together)."""
+    branches = tree.where(F.col(s) != NONE).groupBy(*prefix, s).agg(F.sum("bad").alias("b"), F.sum(F.col("bad") + F.col("good")).alias("n"))
+    kids = branches.groupBy(*prefix).agg(F.count(F.lit(1)).alias("kids"))
+    many = kids.where(F.col("kids") > CHILDREN).select(*prefix)
+    some = branches.where(F.col("n") >= MIN_OWN).join(kids.where(F.col("kids") <= CHILDREN), prefix)
+    listed = some.groupBy(*prefix).agg(F.array_sort(F.collect_list(F.struct((F.col("b") / F.col("n")).alias("share"), F.col(s).alias("name"), "b", "n"))).alias("x"))  # CHILDREN at most
+    kind = "array<struct<b:bigint,n:bigint,names:array<string>>>"
+
+    def step(groups: Column, x: Column) -> Column:
+        last = F.element_at(groups, -1)
+        joined = F.struct((last["b"] + x["b"]).alias("b"), (last["n"] + x["n"]).alias("n"), F.concat(last["names"], F.array(x["name"])).alias("names"))
+        alone = F.struct(x["b"].alias("b"), x["n"].alias("n"), F.array(x["name"]).alias("names"))
+        alike = (F.size(groups) > 0) & _chance(last["b"], last["n"], x["b"], x["n"])
+        return F.when(alike, F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(joined))).otherwise(F.concat(groups, F.array(alone))).cast(kind)
+
+    groups = listed.select(*prefix, F.aggregate("x", F.array().cast(kind), step).alias("groups"))
+    one = (F.size("groups") == 1) & (F.size(F.col("groups")[0]["names"]) > 1)
+    wild = many.union(groups.where(one).select(*prefix)).withColumn("wild", F.lit(True))
+    several = groups.where(F.size("groups") > 1).select(*prefix, F.explode("groups.names").alias("names")).where(F.size("names") > 1)
+    name = F.concat(F.lit("{"), F.array_join(F.array_sort("names"), "|"), F.lit("}"))
+    return wild, several.select(*prefix, F.explode("names").alias(s), name.alias("merged"))
+
+
 def judged_templates(urls: DataFrame) -> DataFrame:
     """host, s0..s4, the template they fall under, its purity and whether it is rejected."""
     tree = templates(urls)

@@ -98,6 +98,17 @@ def test_templates_are_learnt(spark):
     assert ("k.com", "/*/z") in judged and not judged["k.com", "/*/z"].rejected
 
 
+def test_alike_branches_merge_in_groups(spark):
+    """Three bad and three good branches are two nodes; the bad one is rejected, for one of few labels too small to tell it stays apart."""
+    rows = [(f"http://h.com/{kind}{b}/page", int(kind == "bad")) for kind in ("bad", "good") for b in "abc" for _ in range(40)]
+    rows += [("http://h.com/new/page", None), ("http://h.com/few/page", 1)] + [(f"http://k.com/x/{w}/y", 1) for w in "pqr" for _ in range(60)] + [("http://k.com/x/unseen/y", None)]
+    host, path = url_filter.split_url()
+    judged = {(r.host, r.template): r for r in url_filter.judged_templates(spark.createDataFrame(rows, "url string, bad int").select(host.alias("host"), path.alias("path"), "bad")).collect()}
+    assert judged["h.com", "/{bada|badb|badc}/page"].rejected and judged["h.com", "/{bada|badb|badc}/page"].purity > 0.95
+    assert not any(judged["h.com", t].rejected for t in ("/{gooda|goodb|goodc}/page", "/new/page", "/few/page"))
+    assert judged["k.com", "/x/*/y"].rejected and len([k for k in judged if k[0] == "k.com"]) == 1
+
+
 def test_urls_are_judged_by_documents(spark):
     """Labels of documents decide templates that no rule reaches; many blocked pages of a host decide no other template."""
     pages = [(i, f"http://h.org/{'bad' if i < 200 else 'good'}/{i}") for i in range(400)] + [(1000 + i, f"http://x.example.com/de/{1000 + i}") for i in range(200)] + [(2000, "http://x.example.com/en/2000"), (2001, "http://h.org/bad/9999.html")]
