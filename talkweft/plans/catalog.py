@@ -423,6 +423,7 @@ from . import expanded as _expanded  # noqa: E402, F401
 from . import generated as _generated  # noqa: E402, F401
 from . import measured as _measured  # noqa: E402, F401
 from . import realized as _realized  # noqa: E402, F401
+from . import running as _running  # noqa: E402, F401
 from . import seeded as _seeded  # noqa: E402, F401
 from . import trained as _trained  # noqa: E402, F401
 from . import wired as _wired  # noqa: E402, F401

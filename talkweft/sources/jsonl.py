@@ -82,6 +82,15 @@ def read_manifest(spark: SparkSession, path: str, split: str, absolute: bool = F
     return [p if p.startswith("/") else f"{path.rsplit('/', 1)[0]}/{p}" for p in found]
 
 
+def available_manifest(spark: SparkSession, path: str) -> str:
+    """``path``, if a file is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not (fs.exists(where) and fs.getFileStatus(where).isFile()):
+        raise ValueError(f"manifest is unavailable: {path}")
+    return path
+
+
 def checked_manifest(spark: SparkSession, path: str, contract: str, schema_version: str) -> dict:
     """A manifest of this contract whose files hold as many rows as it says."""
     manifest = read_json_document(spark, path)

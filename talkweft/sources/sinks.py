@@ -69,15 +69,20 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small document, written beside its place and moved there."""
+    """One small document, written beside its place and renamed over what is there: readers see the old one or the new one, whole."""
     fs, where = _fs(spark, path)
     part = _path(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(part, True)
-    out.write(bytearray(text.encode("utf-8")))
-    out.close()
-    fs.delete(where, False)
-    if not fs.rename(part, where):
-        raise OSError(f"can't move a document to {path}")
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+        out.close()
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(where), over)
+    except BaseException:
+        fs.delete(part, False)
+        raise
 
 
 def write_json(spark: SparkSession, path: str, value: object) -> None:

@@ -162,3 +162,24 @@ def test_streams_equal_batch(spark, tmp_path):
     stream = spark.readStream.schema("event_id long, ts timestamp").parquet(f"{tmp_path}/twice")
     sessions.run_available(sessions.first_rows(stream, "event_id", "ts"), f"{tmp_path}/once", f"{tmp_path}/check2")
     assert spark.read.parquet(f"{tmp_path}/once").count() == events.count()
+
+
+def test_documents_are_replaced_whole(spark, tmp_path, monkeypatch):
+    """A new document takes the old one's place; where writing fails, the old one stays and nothing lies beside it."""
+    import os
+
+    path = str(tmp_path / "card.md")
+    for text in ("one", "two é\n", ""):
+        sinks.write_text(spark, path, text)
+        assert open(path, encoding="utf-8").read() == text
+    with pytest.raises(Exception):
+        sinks.write_text(spark, path, "\ud800")
+    assert open(path).read() == "" and [f for f in os.listdir(tmp_path) if not f.startswith(".")] == ["card.md"]
+
+
+def test_manifest_must_be_there(spark, tmp_path):
+    (tmp_path / "manifest.json").write_text("{}")
+    assert jsonl.available_manifest(spark, str(tmp_path / "manifest.json")).endswith("manifest.json")
+    for missing in (tmp_path / "none.json", tmp_path):
+        with pytest.raises(ValueError, match="manifest is unavailable"):
+            jsonl.available_manifest(spark, str(missing))
