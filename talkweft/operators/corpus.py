@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PII_PATTERNS, has_pii, norm_unicode, stable_rank
+from ..sources.shared import numbered
 
 PRIORITY = {"test": 0, "validation": 1, "train": 2}
 
@@ -77,11 +78,16 @@ def held_out_hits(train: DataFrame, held_out: DataFrame, text: str) -> DataFrame
 
 
 def circular_previous(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """Each row with the one before it in its group; the first takes the last. Groups of one row give none."""
-    w = Window.partitionBy(group).orderBy(order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = df.withColumn("previous", F.coalesce(F.lag(value).over(w), F.last(value).over(whole))).withColumn("_n", F.count(F.lit(1)).over(whole))
-    return rows.where("_n > 1").drop("_n")
+    """Each row with the one before it in its group; the first takes the last. Groups of one row give none.
+
+    Rows are numbered over all groups, so that a row finds the one before it by number and a group of any size is spread; only a
+    group's ends and its last value are gathered by group. Rows of null group or order take no part.
+    """
+    rows = numbered(df.where(F.col(group).isNotNull() & F.col(order).isNotNull()), [F.asc(group), F.asc(order)], "ordered", "_no")
+    ends = rows.groupBy(group).agg(F.min("_no").alias("_first"), F.count(F.lit(1)).alias("_n"), F.max_by(value, "_no").alias("_last")).where("_n > 1")
+    before = rows.select((F.col("_no") + 1).alias("_no"), F.col(value).alias("_before"))
+    both = rows.join(before, "_no", "left").join(ends, group)
+    return both.withColumn("previous", F.when(F.col("_no") == F.col("_first"), F.col("_last")).otherwise(F.col("_before"))).drop("_no", "_before", "_first", "_n", "_last")
 
 
 def modulo_pairs(left: DataFrame, right: DataFrame, key, tie: str, n_right: int) -> DataFrame:

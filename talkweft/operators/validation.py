@@ -154,7 +154,7 @@ def target_results(messages: Column) -> Column:
 
 
 def message_lists(turns: DataFrame) -> DataFrame:
-    """A list of role and content for each conversation, in order of turns."""
+    """A list of role and content for each conversation, in order of turns. A conversation is one row, as a prompt is one text: its turns must fit one task."""
     return turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 
 

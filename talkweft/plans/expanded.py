@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import expansion as X
@@ -78,9 +78,11 @@ def repeated_turns(df: DataFrame) -> DataFrame:
     return X.repeated_keys(df.select("role", F.length("text").cast("long").alias("size")), ["role", "size"])
 
 
-@query("labels", "SELECT doc_id, quality, 'p' || doc_id AS raw_output FROM labels")
-def joined_predictions(df: DataFrame) -> DataFrame:
-    return X.with_predictions(df.select("doc_id", "quality"), df.select("doc_id", F.concat(F.lit("p"), "doc_id").alias("raw_output")), "doc_id", "raw_output")
+@query("", "SELECT doc_id, quality, 'p' || n_chars || coalesce(lang, '') AS raw_output FROM labels JOIN documents USING (doc_id)")
+def joined_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Labels are the records, documents give their predictions."""
+    predictions = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(F.lit("p"), F.col("n_chars").cast("string"), F.coalesce("lang", F.lit(""))).alias("raw_output"))
+    return X.with_predictions(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality"), predictions, "doc_id", "raw_output")
 
 
 @query("labels", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'old' ELSE '' END AS calls, 'e' || doc_id || ':freeze_card:done' AS result FROM labels")

@@ -151,10 +151,13 @@ def realized_turns(df: DataFrame) -> DataFrame:
     return A.realized(keyed, answers, "key", "text").select("conv_id", "turn", F.sha2("text", 256).alias("text_key"))
 
 
-@query("labels", "SELECT (SELECT count(*) FROM labels) AS n_rows, count(*) FILTER (doc_id % 50 = 0) AS n_broken, count(*) FILTER (doc_id % 4 = 1) AS n_changed FROM labels")
+@query("labels", "SELECT (SELECT count(*) FROM labels) AS n_rows, count(*) FILTER (doc_id % 50 = 0 OR doc_id % 97 = 0 OR doc_id % 31 IN (1, 2)) AS n_broken, count(*) FILTER (doc_id % 4 = 1 OR doc_id % 97 = 0) AS n_changed FROM labels")
 def prompt_equivalence(df: DataFrame) -> DataFrame:
+    """The second source has rows changed, rows missing, and neighbours that changed places."""
     left = df.select("doc_id", F.col("doc_id").alias("record_id"), F.col("quality").cast("string").alias("messages"), F.col("toxic").alias("expected"))
-    right = left.select("doc_id", "record_id", F.when(F.col("doc_id") % 50 == 0, "changed").otherwise(F.col("messages")).alias("messages"), F.when(F.col("doc_id") % 4 == 1, F.col("expected") + 1).otherwise(F.col("expected")).alias("expected"))
+    at = F.col("doc_id") % 31
+    swapped = F.when(at == 1, F.col("doc_id") + 1).when(at == 2, F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    right = left.where("doc_id % 97 <> 0").select("doc_id", swapped.alias("record_id"), F.when(F.col("doc_id") % 50 == 0, "changed").otherwise(F.col("messages")).alias("messages"), F.when(F.col("doc_id") % 4 == 1, F.col("expected") + 1).otherwise(F.col("expected")).alias("expected"))
     return A.positional_changes(left, right, "doc_id", ["record_id", "messages"], "expected")
 
 

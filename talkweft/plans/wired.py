@@ -66,7 +66,7 @@ _IN = lambda names: "(" + ", ".join(map(_q, names)) + ")"
 SELECT doc_id, label, code::INT AS code, (label IN {_IN(R.BANKING_LABELS)} OR label IN {_IN(R.CONVERSATION_LABELS)})::INT AS domain_label, CASE WHEN label IN {_IN(R.BANKING_LABELS)} THEN 'clinc_supported_banking' WHEN label IN {_IN(R.CONVERSATION_LABELS)} THEN 'clinc_conversational_in_domain' WHEN label = 'oos' THEN 'clinc_oos' ELSE 'clinc_nonbanking' END AS example_kind FROM d JOIN c USING (label)""")
 def label_domains(df: DataFrame) -> DataFrame:
     rows = df.select("doc_id", F.element_at(F.array(*[F.lit(x) for x in _LABELS]), (F.col("doc_id") % len(_LABELS) + 1).cast("int")).alias("label"))
-    return rows.join(F.broadcast(R.intent_codes(rows, "label")), "label").select("doc_id", "label", "code", *R.label_domain(F.col("label")))
+    return rows.join(R.intent_codes(rows, "label"), "label").select("doc_id", "label", "code", *R.label_domain(F.col("label")))
 
 
 @query("documents", f"WITH d AS (SELECT doc_id, {_LSQL}[doc_id % {len(_LABELS)} + 1] AS label, CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE ' t' || doc_id END AS t FROM documents) SELECT trim(t) AS current_text, 0 AS domain_label, 'clinc150|test|' || label || '|' || doc_id AS group_id FROM d WHERE label IN {_IN(R.OUTSIDE_LABELS)} AND trim(t) <> ''")
