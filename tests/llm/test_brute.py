@@ -56,6 +56,7 @@ def test_flac_encodes_linear_predictors_and_seeks():
     words = ["lorem", "ipsum", "dolor", "sit", "amet", "é", "Zürich", "and", "the", "\n"]
     data = [flac_media.payload_of(" ".join(rng.choice(words) for _ in range(n)))[1] for n in (3, 900, 6000)]
     data.append(bytes(int(128 + 100 * np.sin(i / 7)) for i in range(576 * 20)))
+    data.append(bytes(int(128 + 60 * np.sin(1.9 * i) + 50 * np.sin(2.6 * i)) for i in range(576 * 20)))  # only a fitted predictor foresees two high tones
     kinds = Counter()
     for stream, want in zip(flac_media.encode_many(data, tables), data, strict=True):
         assert flac_media.decode_many([stream], tables) == [want]

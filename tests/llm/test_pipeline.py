@@ -1,0 +1,162 @@
+"""Every stage of the pipeline against a plain version of it, each on what the stage before kept; and written PCM by offset."""
+
+import itertools
+import math
+import random
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from test_exact_dup import plain as plain_components
+from test_oracles import DATA
+
+import corpus_pipeline
+from talkweft.llm import best_fit, flac_media, line_crf, near_dup, oracles
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def plain_score(text, model):
+    """The document's score by a forward and a backward walk over its lines, one at a time."""
+    rows, sizes = line_crf.line_features(text)
+    unary = [[math.exp(sum(float(v) * model["w"][k][q] for k, v in enumerate(row)) + model["bias"][q]) for q in (0, 1)] for row in rows]
+    pair = [[math.exp(model["t"][p][q]) for q in (0, 1)] for p in (0, 1)]
+    forward, backward = [], []
+    for u in unary:
+        now = list(u) if not forward else [u[q] * sum(forward[-1][p] * pair[p][q] for p in (0, 1)) for q in (0, 1)]
+        forward.append([x / sum(now) for x in now])
+    for i in range(len(unary) - 1, -1, -1):
+        now = [1.0, 1.0] if not backward else [sum(pair[p][q] * unary[i + 1][q] * backward[-1][q] for q in (0, 1)) for p in (0, 1)]
+        backward.append([x / sum(now) for x in now])
+    good = [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(forward, reversed(backward), strict=True)]
+    z = min(max(sum(g * s for g, s in zip(good, sizes, strict=True)) / sum(sizes), 1e-6), 1 - 1e-6)
+    return 1 / (1 + math.exp(-(model["a"] * math.log(z / (1 - z)) + model["b"])))
+
+
+def plain_redacted(text):
+    if text is None:
+        return None
+    spans = []
+    for no, (kind, pattern, least, group) in enumerate(oracles.KINDS):
+        spans += [(m.start(), no, m.end(), kind) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    out, at, last = [], 0, -1
+    for a, _, b, kind in sorted(spans):
+        if a >= last:
+            out += [text[at:a], f"[{kind}]"]
+        last = max(last, b)
+        at = last
+    return "".join([*out, text[at:]]) if out else text
+
+
+def plain_pack(sizes, lengths):
+    bins, place = [], []
+    for i, s in enumerate(sizes):
+        fits = sorted((b["room"], k) for k, b in enumerate(bins) if b["room"] >= s)
+        if fits:
+            k = fits[0][1]
+        else:
+            best = None
+            for c in sorted(x for x in lengths if x >= s):
+                held = s + min(c - s, sum(x for x in sizes[i + 1 :] if x <= c - s))
+                if best is None or best_fit.cost(c) / held < best[0] - 1e-12:
+                    best = (best_fit.cost(c) / held, c)
+            k = len(bins)
+            bins.append({"room": best[1], "filled": 0})
+        place.append((k, bins[k]["filled"]))
+        bins[k]["filled"] += s
+        bins[k]["room"] -= s
+    return [(k, min(c for c in lengths if c >= bins[k]["filled"]), at) for k, at in place]
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """What each stage returns, written and read again."""
+    docs, out = spark.read.parquet(f"{DATA}/documents.parquet"), {}
+    out["documents"] = docs.collect()
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp("stages") / name)
+        stage(spark, docs, DATA).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out[name] = docs.collect()
+    return out
+
+
+def rows(found):
+    return sorted(tuple(r[c] for c in COLUMNS) for r in found)
+
+
+def test_rules_stage(stages):
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    kept = {r[0] for r in con.execute(f"SELECT doc_id FROM ({oracles.rules()}) WHERE kept").fetchall()}
+    assert rows(stages["quality_rules"]) == rows(r for r in stages["documents"] if r.doc_id in kept) and 0 < len(kept) < len(stages["documents"])
+
+
+def test_classifier_stage(spark, stages):
+    before = stages["quality_rules"]
+    model = line_crf.train(spark.createDataFrame(before), spark.read.parquet(f"{DATA}/labels.parquet"))
+    scores = {r.doc_id: plain_score(r.text, model) for r in before}
+    assert all(abs(s - line_crf.THRESHOLD) > 1e-6 for s in scores.values())
+    assert rows(stages["quality_classifier"]) == rows(r for r in before if scores[r.doc_id] >= line_crf.THRESHOLD)
+
+
+def test_near_dedup_stage(stages):
+    before = sorted(stages["quality_classifier"], key=lambda r: r.doc_id)
+    comp = plain_components([r.text for r in before], 5, near_dup.SHARE)
+    kept = [r for i, r in enumerate(before) if comp[i] == i or not near_dup.shingles(r.text, 5)]
+    assert rows(stages["near_dedup"]) == rows(kept) and len(kept) < len(before)
+
+
+def test_secret_stage(spark, stages):
+    """What is left of the documents, and all of them, as few secrets are left at this size."""
+    redacted = lambda found: sorted((r.doc_id, t := plain_redacted(r.text), r.lang, r.source, r.n_chars if t is None else len(t)) for r in found)
+    assert rows(stages["secret_scan"]) == redacted(stages["near_dedup"])
+    every = corpus_pipeline.secret_scan(spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA)
+    assert rows(every.collect()) == redacted(stages["documents"]) != rows(stages["documents"])
+
+
+def test_packing_stage(stages):
+    placed = stages["best_fit_packing"]
+    assert {r.doc_id for r in placed} == {r.doc_id for r in stages["secret_scan"]}
+    for _, own in itertools.groupby(sorted(placed, key=lambda r: (r.shard, -r.n_tokens, r.doc_id, r.piece)), key=lambda r: r.shard):
+        own = list(own)
+        want = plain_pack([r.n_tokens for r in own], best_fit.LENGTHS)
+        assert [(r.bin, r.bin_length, r.bin_offset) for r in own] == want
+
+
+def test_packing_equals_plain_on_drawn_sizes():
+    rng = random.Random(12)
+    for _ in range(60):
+        lengths = tuple(sorted(rng.sample([8, 16, 24, 32, 64, 100], rng.randint(1, 4))))
+        sizes = sorted((rng.randint(1, max(lengths)) for _ in range(rng.randint(0, 60))), reverse=True)
+        assert best_fit.pack(sizes, lengths) == plain_pack(sizes, lengths)
+
+
+def test_scores_equal_all_labelings():
+    """Marginals of short chains by summing over every labeling."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5):
+        unary, trans = rng.normal(size=(n, 2)), rng.normal(size=(2, 2))
+        total = np.zeros((n, 2))
+        for y in itertools.product((0, 1), repeat=n):
+            p = math.exp(sum(unary[i][q] for i, q in enumerate(y)) + sum(trans[a][b] for a, b in zip(y, y[1:])))
+            for i, q in enumerate(y):
+                total[i][q] += p
+        got, _ = line_crf.forward_backward(unary, trans, np.array([n]))
+        assert np.allclose(got, total / total.sum(1, keepdims=True))
+
+
+def test_written_pcm_by_offset(spark):
+    """Blocks are written with their offsets, and any range is read from those it touches."""
+    rng = random.Random(4)
+    texts = {1: "text " * 40_000, 2: "", 3: "é" * 500, 4: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    blocks = flac_media.write_pcm(flac_media.encode_flac(docs))
+    want = {i: flac_media.payload_of(t)[1] for i, t in texts.items()}
+    held = {(r.doc_id, r.sample_offset): bytes(r.pcm) for r in blocks.collect()}
+    assert {i: b"".join(held[k] for k in sorted(held) if k[0] == i) for i in want} == want and len(held) > 5
+    asked = [(rng.choice([1, 1, 1, 2, 3, 4, 9]), rng.randint(-5, 210_000), rng.randint(-3, 140_000)) for _ in range(40)] + [(1, 0, 200_000), (1, flac_media.PCM_BLOCK - 1, 2), (2, 570, 100)]
+    got = {(r.doc_id, r.start, r.n): bytes(r.pcm) for r in flac_media.samples_at(blocks, spark.createDataFrame(asked, "doc_id long, start long, n long")).collect()}
+    assert got == {(i, a, n): want.get(i, b"")[a : a + n] if a >= 0 and n > 0 else b"" for i, a, n in asked}
