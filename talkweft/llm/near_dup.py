@@ -47,6 +47,7 @@ LIST = 1500
 SKETCH, SLACK = 256, 4.3  # least hashes of a set for a closer look; standard deviations below the share that pass
 BLOCK = 500  # classes of a component that a task holds at once
 WORDS = 200_000
+HUB_EDGES = 1_000_000  # links from which hubs are looked for: with fewer no node's links fill a task
 SET_SCHEMA = "doc_id long, n_shingles long, digest binary, sig binary"
 
 
@@ -165,25 +166,40 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, share: int) -> Dat
     return map_batches(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb"), make, "a long, b long").distinct()
 
 
+def _least_beside(edges: DataFrame, n: int) -> DataFrame:
+    """``edges`` (u, v) with ``m``, the least v of each u.
+
+    With many edges the nodes of more than a hundred-thousandth of them, which are 100,000 at most, get theirs by a broadcast: no
+    task holds all edges of a hub.
+    """
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    if n < HUB_EDGES:
+        return edges.join(low.select("u", "m"), "u")
+    hub = n // 100_000
+    marked = edges.join(F.broadcast(low.where(F.col("degree") > hub).select("u", F.col("m").alias("hub_m"))), "u", "left")
+    plain = marked.where("hub_m IS NULL").select("u", "v").join(low.where(F.col("degree") <= hub).select("u", "m"), "u")
+    return plain.select("u", "v", "m").union(marked.where("hub_m IS NOT NULL").select("u", "v", F.col("hub_m").alias("m")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and comp (its least reachable node) for every node of ``links`` (a, b); rounds of large and small stars."""
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    if not edges.take(1):
+    n = edges.count()
+    if not n:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     before = None
     while True:
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = _least_beside(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        joined = _least_beside(large, n)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         last, edges = edges, written(small, "edges")
         forget(last)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        before = state
+        before, n = state, state[0]
 
 
 def _cell_counts(classes: DataFrame) -> np.ndarray:
@@ -442,7 +458,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, share: int = SHARE, e
     more = _confirmed_against(wanted, known, docs, width, share, 0 if exact else MATCHES)
     final = components(links.union(written(more, "links")))
     label = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
-    ids = sets.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
+    ids = sets.select("doc_id", "n_shingles", "digest")  # texts without shingles share one digest, and need no label
+    ids = ids.where("n_shingles > 0").join(label, "digest", "left").select("doc_id", "n_shingles", "comp").union(ids.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long")))
     comp = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id"))
     return ids.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 

@@ -70,3 +70,14 @@ def test_prefix_and_bounds_lose_nothing():
             p, q = x[: near_dup_exact.prefix_size(len(x), share)], y[: near_dup_exact.prefix_size(len(y), share)]
             one = lambda v: np.array([v])
             assert any(near_dup_exact.fits(one(len(x)), one(p.index(s)), one(len(y)), one(q.index(s)), share)[0] for s in set(p) & set(q))
+
+
+def test_hubs_of_links(spark, monkeypatch):
+    """Components with and without the hubs' broadcast: a hub of 3,000 links, chains, and single pairs."""
+    links = [(5, 100 + i) for i in range(3000)] + [(10_000 + i, 10_001 + i) for i in range(60)] + [(20_000 + 2 * i, 20_001 + 2 * i) for i in range(50)] + [(3, 3000), (7, 7)]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = {5: 3, 3: 3} | {100 + i: 3 for i in range(3000)} | {10_000 + i: 10_000 for i in range(61)} | {20_000 + 2 * i + k: 20_000 + 2 * i for i in range(50) for k in (0, 1)}
+    for least in (near_dup.HUB_EDGES, 0):
+        monkeypatch.setattr(near_dup, "HUB_EDGES", least)
+        got = {r.node: r.comp for r in near_dup.components(df).collect()}
+        assert got == want
