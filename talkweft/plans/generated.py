@@ -70,15 +70,3 @@ def visible_history(df: DataFrame) -> DataFrame:
     rows = df.withColumn("text", F.when((F.col("role") == "user") & (F.col("turn") == last), "   ").otherwise(F.col("text")))
     lists = V.message_lists(rows)
     return lists.select("conv_id", V.last_user_text(F.col("messages")).alias("current"), F.size(V.visible_before_current(F.col("messages"))).alias("n_history")).where("current IS NOT NULL")
-
-
-PREFIX = V.PREFIX_FIXTURES
-_PFX = ", ".join(f"({i}, {a}, {b}, '{c}', '{d}')" for i, (_, a, b, c, d) in enumerate(PREFIX))
-
-
-@query("conversations", f"SELECT conv_id || '-' || turn AS record_id, n_first, n_grounded, results, last_user FROM conversations JOIN (VALUES {_PFX}) v(k, n_first, n_grounded, results, last_user) ON k = (conv_id + turn) % {len(PREFIX)}")
-def prompt_prefixes(df: DataFrame) -> DataFrame:
-    k = ((F.col("conv_id") + F.col("turn")) % len(PREFIX) + 1).cast("int")
-    rows = df.select(F.concat_ws("-", "conv_id", "turn").alias("record_id"), F.from_json(F.element_at(F.array(*[F.lit(p[0]) for p in PREFIX]), k), V.MESSAGES).alias("m"))
-    m = F.col("m")
-    return rows.select("record_id", F.size(V.first_prefix(m)).alias("n_first"), F.size(V.grounded_prefix(m)).alias("n_grounded"), F.array_join(F.transform(V.target_results(m), lambda x: x["tool_call_id"]), ",").alias("results"), F.coalesce(V.last_of(m, lambda x: x["role"] == "user")["content"], F.lit("")).alias("last_user"))

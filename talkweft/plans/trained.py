@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import masks as K
 from ..operators import templates as T
+from ..operators import validation as V
 from .catalog import query
 
 TOOLS = [{"type": "function", "function": {"name": "dispute_transaction"}}]
@@ -80,3 +81,13 @@ def fitted_chains(df: DataFrame) -> DataFrame:
     kind, plain = lists.schema["messages"].dataType, T.Template.read(T.PLAIN)
     made = K.fitted(lists, plain, "messages", _BUDGET, lambda texts: F.transform(texts, F.char_length))
     return made.select("conv_id", F.col("offset").cast("long").alias("offset"), F.when(F.col("messages").isNotNull(), F.char_length(plain.render(F.col("messages"), kind))).cast("long").alias("kept"))
+
+
+@query("conversations", _M + """, n AS (SELECT conv_id, k, role, content, role = 'assistant' AND content IS NULL AS call, loss, row_number() OVER (PARTITION BY conv_id ORDER BY k) - 1 AS i FROM m),
+p AS (SELECT conv_id, min(i) FILTER (call AND loss) AS target, max(i) FILTER (role = 'assistant' AND NOT call) AS final, arg_max(content, k) FILTER (role = 'user') AS last_user, string_agg('call_' || conv_id || '_' || (k // 3), ',' ORDER BY k) FILTER (call AND loss) AS results FROM n GROUP BY 1)
+SELECT conv_id, coalesce(target, final)::INT AS n_first, final::INT AS n_grounded, coalesce(results, '') AS results, last_user FROM p""")
+def prompt_prefixes(df: DataFrame) -> DataFrame:
+    """How much of every conversation comes before its first target call and before its final answer, and the results of target calls."""
+    m = F.col("messages")
+    rows = stored_messages(df)
+    return rows.select("conv_id", F.size(V.first_prefix(m)).alias("n_first"), F.size(V.grounded_prefix(m)).alias("n_grounded"), F.array_join(F.transform(V.target_results(m), lambda x: x["tool_call_id"]), ",").alias("results"), V.last_of(m, lambda x: x["role"] == "user")["content"].alias("last_user"))

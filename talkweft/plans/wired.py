@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import bank as B
@@ -14,35 +14,52 @@ from .catalog import CURRENT, NORM_B, P, VISIBLE, query
 from .measured import _PATH_SQL, _PATHS
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"
-_OUT = ", ".join(f"({i}, {_q(a)}, {_q(b)}, {_q(c)}, {_q(d)})" for i, (_, a, b, c, d) in enumerate(W.FIXTURES))
+_NAMES = ["list_transactions", "list_cards", "freeze_card", "pay", "list_transactions", " "]
 
+# An output is made of a turn's text: its length picks the tool, the argument, its value, an index, and what stands around the call.
+_RAW = f"""SELECT conv_id, turn, length(text) AS n, left(text, 12) AS prose, {"[" + ", ".join(map(_q, _NAMES)) + "]"}[length(text) % 6 + 1] AS name, CASE WHEN length(text) % 10 = 7 THEN 'pin' WHEN length(text) % 6 = 2 THEN 'last4' ELSE 'limit' END AS argument, length(text) % 25 AS value, CASE length(text) % 8 WHEN 5 THEN 'string' WHEN 6 THEN 'boolean' ELSE 'integer' END AS kind, length(text) % 9 = 8 AS indexed, length(text) % 7 = 3 AS spoken, length(text) % 11 = 4 AS broken, length(text) % 13 = 6 AS plain FROM conversations"""
 
-@query("conversations", f"SELECT conv_id || '-' || turn AS record_id, wire_failure, wire_calls, serving_failure, serving_calls FROM conversations JOIN (VALUES {_OUT}) v(k, wire_failure, wire_calls, serving_failure, serving_calls) ON k = (conv_id * 5 + turn) % {len(W.FIXTURES)}")
+
+def _raw(df: DataFrame) -> DataFrame:
+    n = F.char_length("text")
+    name = F.element_at(F.array(*[F.lit(x) for x in _NAMES]), (n % 6 + 1).cast("int"))
+    value = (n % 25).cast("string")
+    said = F.when(n % 8 == 5, F.concat(F.lit('"'), value, F.lit('"'))).when(n % 8 == 6, "true").otherwise(value)
+    argument = F.when(n % 10 == 7, "pin").when(n % 6 == 2, "last4").otherwise("limit")
+    call = F.concat(F.lit('{"name": "'), name, F.lit('", "arguments": {"'), argument, F.lit('": '), said, F.lit("}"), F.when(n % 9 == 8, ', "index": 3').otherwise(""), F.when(n % 11 == 4, "").otherwise("}"))
+    block = F.concat(F.when(n % 7 == 3, F.concat(F.left("text", F.lit(12)), F.lit(" "))).otherwise(""), F.lit("<tool_call>"), call, F.lit("</tool_call>"))
+    return df.select("conv_id", "turn", F.when(n % 13 == 6, F.col("text")).otherwise(block).alias("raw"))
+
+
+@query("conversations", f"""WITH r AS ({_RAW}), v AS (SELECT *, CASE WHEN argument = 'pin' THEN 'unknown' WHEN name = 'list_transactions' AND argument = 'limit' THEN CASE WHEN kind <> 'integer' THEN 'type' WHEN value < 1 THEN 'minimum' WHEN value > 20 THEN 'maximum' END WHEN name = 'freeze_card' AND argument = 'last4' THEN CASE WHEN kind <> 'string' THEN 'type' END WHEN name IN ('list_cards', 'freeze_card', 'list_transactions') THEN 'unknown' END AS wrong, name || '.' || argument AS place FROM r),
+w AS (SELECT *, CASE WHEN plain THEN '' WHEN spoken THEN 'tool-call output must not contain prose outside tool_call blocks' WHEN broken THEN 'assistant output is not parseable JSON' WHEN name = ' ' THEN 'tool call requires a function name' WHEN indexed THEN 'tool call indexes must be ordered from zero' WHEN name = 'pay' THEN 'unknown tool name: pay' WHEN wrong = 'unknown' THEN 'unsupported arguments for ' || name || ': [''' || argument || ''']' WHEN wrong = 'type' THEN 'invalid type for ' || place || ': expected ' || CASE argument WHEN 'limit' THEN '[''integer'']' ELSE '[''null'', ''string'']' END || ', got ' || kind WHEN wrong IS NOT NULL THEN 'value ' || CASE wrong WHEN 'minimum' THEN 'below minimum' ELSE 'above maximum' END || ' for ' || place ELSE '' END AS strict,
+CASE WHEN plain THEN '' WHEN broken THEN 'model tool call is not valid JSON' WHEN name = ' ' THEN 'model tool call requires a function name' WHEN indexed THEN 'model tool-call indexes must be ordered from zero' WHEN name = 'pay' THEN 'model selected unsupported tool: pay' WHEN wrong = 'unknown' THEN 'model supplied unsupported arguments for ' || name WHEN wrong = 'type' THEN 'model supplied invalid type for ' || place WHEN wrong IS NOT NULL THEN 'model supplied value ' || CASE wrong WHEN 'minimum' THEN 'below minimum' ELSE 'above maximum' END || ' for ' || place ELSE '' END AS serving FROM v)
+SELECT conv_id || '-' || turn AS record_id, strict AS wire_failure, CASE WHEN strict = '' AND NOT plain THEN name ELSE '' END AS wire_calls, serving AS serving_failure, CASE WHEN serving = '' AND NOT plain THEN name ELSE '' END AS serving_calls FROM w""")
 def wire_outputs(df: DataFrame) -> DataFrame:
-    """Outputs of every kind through both parses; what each must give is stated by hand."""
-    k = ((F.col("conv_id") * 5 + F.col("turn")) % len(W.FIXTURES) + 1).cast("int")
-    raw = F.element_at(F.array(*[F.lit(f[0]) for f in W.FIXTURES]), k)
-    rows = df.select(F.concat_ws("-", "conv_id", "turn").alias("record_id"), raw.alias("raw"))
-    rows = rows.select("record_id", W.parsed_wire(F.col("raw")).alias("w"), W.parsed_serving(F.col("raw"), F.lit("t")).alias("s"))
+    """Outputs made of every turn's text through both parses."""
+    rows = _raw(df).select(F.concat_ws("-", "conv_id", "turn").alias("record_id"), W.parsed_wire(F.col("raw")).alias("w"), W.parsed_serving(F.col("raw"), F.lit("t")).alias("s"))
     names = lambda c: F.array_join(F.transform(F.col(c)["calls"], lambda x: x["name"]), ",")
     return rows.select("record_id", F.coalesce("w.failure", F.lit("")).alias("wire_failure"), names("w").alias("wire_calls"), F.coalesce("s.failure", F.lit("")).alias("serving_failure"), names("s").alias("serving_calls"))
 
 
-_RUNS = ", ".join(f"({i}, {_q(r[3])}, {r[4]}, {r[5]}, {r[6]})" for i, r in enumerate(W.RUNS))
-
-
-@query("conversations", f"SELECT conv_id || '-' || turn AS record_id, stop_reason, matched, emitted, passes FROM conversations JOIN (VALUES {_RUNS}) v(k, stop_reason, matched, emitted, passes) ON k = (conv_id + turn) % {len(W.RUNS)}")
+@query("conversations", """WITH a AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS m FROM conversations),
+s AS (SELECT *, CASE WHEN n % 11 = 4 THEN 'parse_error' WHEN k = m AND n % 2 = 0 THEN 'final_answer' WHEN k > 5 THEN 'max_tool_calls' WHEN n % 7 = 3 THEN 'unmatched_tool_call' WHEN k > m - conv_id % 3 THEN 'missing_canonical_tool_result' END AS stop FROM a WHERE k <= 6),
+f AS (SELECT conv_id, min(k) FILTER (stop IS NOT NULL) AS halt, arg_min(stop, k) FILTER (stop IS NOT NULL) AS stop, max(k) AS last FROM s GROUP BY 1)
+SELECT conv_id, coalesce(stop, 'max_tool_passes') AS stop_reason, (coalesce(halt - 1, last))::INT AS matched, (coalesce(CASE WHEN stop IN ('parse_error', 'final_answer') THEN halt - 1 ELSE halt END, last))::INT AS emitted, coalesce(halt, last)::INT AS passes FROM f""")
 def trajectories(df: DataFrame) -> DataFrame:
-    k = ((F.col("conv_id") + F.col("turn")) % len(W.RUNS) + 1).cast("int")
-    calls = "array<struct<name:string,arguments:string>>"
-    raws = F.array(*[F.array(*[F.lit(x) for x in r[0]]) for r in W.RUNS])
-    wanted = F.array(*[F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("arguments")) for n, a in r[1]]).cast(calls) for r in W.RUNS])
-    rows = df.select(F.concat_ws("-", "conv_id", "turn").alias("record_id"), F.element_at(raws, k).alias("raws"), F.element_at(wanted, k).alias("wanted"), F.element_at(F.array(*[F.lit(r[2]) for r in W.RUNS]), k).alias("n_results"))
-    passes = rows.select("record_id", F.posexplode("raws").alias("no", "raw")).withColumn("p", W.parsed_wire(F.col("raw")))
-    runs = passes.groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "p"))), lambda x: x["p"]).alias("passes"))
-    both = rows.join(runs, "record_id")
-    two = F.when(F.size("raws") == 3, W.trajectory(F.col("passes"), F.col("wanted"), F.col("n_results"), 3, 2)).otherwise(W.trajectory(F.col("passes"), F.col("wanted"), F.col("n_results"), 2, 8))
-    return both.select("record_id", two.alias("t")).select("record_id", "t.*")
+    """A conversation is a run: each turn a pass that calls a tool with the turn's number, some broken, some of another number than was expected, some an answer; the last results may be missing."""
+    n = F.char_length("text")
+    whole = Window.partitionBy("conv_id")
+    ends = F.col("turn") == F.max("turn").over(whole)
+    number = F.lpad(F.col("turn").cast("string"), 4, "0")
+    emitted = F.when(n % 7 == 3, "9999").otherwise(number)
+    call = F.concat(F.lit('<tool_call>{"name": "freeze_card", "arguments": {"last4": "'), emitted, F.lit('"}'), F.when(n % 11 == 4, "").otherwise("}"), F.lit("</tool_call>"))
+    raw = F.when(ends & (n % 2 == 0) & (n % 11 != 4), F.col("text")).otherwise(call)
+    expected = F.struct(F.lit("freeze_card").alias("name"), F.concat(F.lit('{"last4":"'), number, F.lit('"}')).alias("arguments"))
+    passes = df.select("conv_id", "turn", raw.alias("raw"), expected.alias("expected")).withColumn("p", W.parsed_wire(F.col("raw")))
+    runs = passes.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "p", "expected"))).alias("x"))
+    made = W.trajectory(F.transform("x", lambda r: r["p"]), F.transform("x", lambda r: r["expected"]), F.size("x") - (F.col("conv_id") % 3).cast("int"), 6, 5)
+    return runs.select("conv_id", made.alias("t")).select("conv_id", "t.*")
 
 
 @query("conversations", """WITH m AS (SELECT conv_id, turn, role, text, role || ':' || text AS line, role = 'assistant' AND turn % 3 <> 0 AS target FROM conversations),
