@@ -123,18 +123,3 @@ def plugged_models(df: DataFrame) -> DataFrame:
     rows = U.generated(df, lambda: lambda batch: [f"{r['role'].upper()}:{len(r['text'])}" for r in batch], ["role", "text"])
     rows = rows.withColumn("n_tokens", U.counted(F.col("text"), len)).withColumn("p", U.parsed_by(F.col("text"), lambda t: ("odd" if len(t) % 2 else None, [])))
     return rows.select("conv_id", "turn", "raw_output", "n_tokens", F.col("p.failure").alias("failure"))
-
-
-_AGREE = [([], [], False, ""), (["call_r1_0"], ["freeze_card"], True, ""), (["x"], ["freeze_card"], True, "ordered_calls mismatch"), (["call_r1_0"], ["list_cards"], True, "expected tool_calls mismatch"), (["call_r1_0"], ["freeze_card"], False, "requires_tool mismatch")]
-_WITH_CALL = V._fixture(V._user(), V._calls(V._FREEZE), V._result("call_r1_0"), V._answer())
-_WITHOUT = V._fixture(V._user(), V._answer())
-_AGSQL = ", ".join(f"({i}, '{w}')" for i, (*_, w) in enumerate(_AGREE))
-
-
-@query("conversations", f"SELECT conv_id, turn, want AS violations FROM conversations JOIN (VALUES {_AGSQL}) v(k, want) ON k = (conv_id + turn) % {len(_AGREE)}")
-def record_agreement(df: DataFrame) -> DataFrame:
-    k = ((F.col("conv_id") + F.col("turn")) % len(_AGREE) + 1).cast("int")
-    texts = lambda at: F.element_at(F.array(*[F.array(*[F.lit(x) for x in a[at]]).cast("array<string>") for a in _AGREE]), k)
-    messages = F.from_json(F.when(k == 1, F.lit(_WITHOUT)).otherwise(F.lit(_WITH_CALL)), V.MESSAGES)
-    rows = df.select("conv_id", "turn", messages.alias("m"), texts(0).alias("ordered"), texts(1).alias("names"), F.element_at(F.array(*[F.lit(a[2]) for a in _AGREE]), k).alias("needs"))
-    return rows.select("conv_id", "turn", F.array_join(V.agreement_violations(F.col("m"), F.col("ordered"), F.col("names"), F.col("needs")), "; ").alias("violations"))

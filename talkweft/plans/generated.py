@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import validation as V
@@ -45,17 +45,61 @@ def corpus_gates(df: DataFrame) -> DataFrame:
     return V.corpus_gates(rows, ["train", "validation", "test"])
 
 
-_FX = V.FIXTURES
-_FXSQL = ", ".join(f"({i}, '{want}')" for i, (_, want) in enumerate(_FX))
+# Every conversation as a record's messages: some assistant turns call a tool first. What is wrong with a message follows from its turn's length.
+_REC = """WITH t AS (SELECT conv_id, turn, role, text, length(text) AS n, 'r' || conv_id AS rid, role = 'assistant' AND (conv_id + turn) % 4 = 1 AS calls FROM conversations),
+c AS (SELECT *, CASE WHEN n % 19 = 3 THEN NULL ELSE turn % 3 <> 0 END AS loss FROM t WHERE calls),
+k AS (SELECT *, CASE WHEN coalesce(loss, false) THEN 'call_' ELSE 'context_' END || rid || '_' || (row_number() OVER (PARTITION BY conv_id, coalesce(loss, false) ORDER BY turn) - 1) AS good FROM c),
+g AS (SELECT *, CASE WHEN n % 11 = 7 THEN 'x_' || turn ELSE good END AS id FROM k),
+m AS (SELECT conv_id, turn * 3 + 2 AS o, role, CASE WHEN role = 'assistant' THEN CASE WHEN n % 41 = 10 THEN NULL ELSE turn % 3 <> 0 END ELSE n % 17 = 5 END AS loss, n, NULL AS id, NULL AS good, false AS is_call, false AS is_result FROM t
+UNION ALL SELECT conv_id, turn * 3, role, loss, n, id, good, true, false FROM g UNION ALL SELECT conv_id, turn * 3 + 1, 'tool', n % 37 = 9, n, CASE WHEN n % 5 = 4 THEN id || 'z' ELSE id END, NULL, false, true FROM g WHERE n % 7 <> 3),
+b AS (SELECT *, coalesce(lag(is_call) OVER w, false) AS waiting, lag(id) OVER w AS asked, lead(o) OVER w IS NULL AS last FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY o)),
+v AS (SELECT *, CASE WHEN is_call THEN CASE WHEN waiting THEN 'tool result correlation mismatch' WHEN n % 13 = 2 THEN 'tool-call assistant has content' WHEN loss IS NULL THEN 'assistant call has invalid loss label' WHEN n % 23 = 4 THEN 'tool call index must restart at zero per assistant message' WHEN id <> good THEN CASE WHEN loss THEN 'unstable tool call id' ELSE 'unstable context tool call id' END WHEN n % 29 = 6 THEN 'unknown tool' WHEN n % 31 = 8 THEN 'unsupported arguments' END
+WHEN is_result THEN CASE WHEN loss THEN 'tool result is labeled' WHEN n % 6 = 1 THEN 'success envelope is invalid' WHEN n % 6 = 2 THEN 'error envelope is invalid' WHEN n % 12 = 3 THEN 'tool envelope missing ok' WHEN NOT waiting OR asked <> id THEN 'tool result correlation mismatch' END
+WHEN waiting THEN 'tool result correlation mismatch' WHEN role = 'assistant' THEN CASE WHEN loss IS NULL THEN 'assistant message has invalid loss label' END WHEN role IN ('user', 'system') THEN CASE WHEN loss THEN 'context message is labeled' END ELSE 'invalid role' END AS said FROM b)"""
 
 
-@query("conversations", f"SELECT conv_id || '-' || turn AS record_id, want AS violation FROM conversations JOIN (VALUES {_FXSQL}) v(k, want) ON k = (conv_id * 5 + turn) % {len(_FX)}")
+def checked_lists(df: DataFrame) -> DataFrame:
+    """conv_id, record_id and the MESSAGES of every conversation."""
+    n, turn = F.char_length("text"), F.col("turn")
+    rid = F.concat(F.lit("r"), F.col("conv_id").cast("string"))
+    calls = (F.col("role") == "assistant") & ((F.col("conv_id") + turn) % 4 == 1)
+    loss = F.when(n % 19 != 3, turn % 3 != 0)
+    target = F.coalesce(loss, F.lit(False))
+    rows = df.withColumn("calls", calls).withColumn("target", F.when(calls, target))
+    earlier = Window.partitionBy("conv_id", "target").orderBy("turn")
+    rows = rows.withColumn("k", F.when(F.col("calls"), F.row_number().over(earlier) - 1))
+    good = F.concat(F.when(target, "call_").otherwise("context_"), rid, F.lit("_"), F.col("k").cast("string"))
+    call_id = F.when(n % 11 == 7, F.concat(F.lit("x_"), turn.cast("string"))).otherwise(good)
+    arguments = F.when(n % 31 == 8, F.create_map(F.lit("pin"), F.lit("1"))).otherwise(F.create_map(F.lit("last4"), F.lit("4821")))
+    call = F.struct(call_id.alias("id"), F.when(n % 23 == 4, 1).otherwise(0).alias("index"), F.when(n % 29 == 6, "pay").otherwise("freeze_card").alias("name"), arguments.alias("arguments"))
+    none = lambda kind: F.lit(None).cast(kind)
+    keys = F.when(n % 6 == 1, F.array(F.lit("ok"), F.lit("error"))).when(n % 6 == 2, F.array(F.lit("ok"), F.lit("result"))).otherwise(F.array(F.lit("ok"), F.lit("result")))
+    ok = F.when(n % 6 == 2, False).when(n % 12 == 3, none("boolean")).otherwise(True)
+    say = lambda o, *fields: F.struct((turn * 3 + o).alias("o"), F.struct(*[f.alias(a) for f, a in zip(fields, ("role", "content", "loss", "tool_calls", "tool_call_id", "name", "ok", "keys"), strict=True)]).cast(V.MESSAGE).alias("m"))
+    own = say(2, F.col("role"), F.col("text"), F.when(F.col("role") != "assistant", n % 17 == 5).when(n % 41 != 10, turn % 3 != 0), none(f"array<{V.CALL}>"), none("string"), none("string"), none("boolean"), none("array<string>"))
+    asked = say(0, F.lit("assistant"), F.when(n % 13 == 2, "x"), loss, F.array(call), none("string"), none("string"), none("boolean"), none("array<string>"))
+    told = say(1, F.lit("tool"), none("string"), n % 37 == 9, none(f"array<{V.CALL}>"), F.concat(call_id, F.when(n % 5 == 4, "z").otherwise("")), F.lit("freeze_card"), ok, keys)
+    each = rows.select("conv_id", rid.alias("record_id"), F.explode(F.when(F.col("calls") & (n % 7 != 3), F.array(asked, told, own)).when(F.col("calls"), F.array(asked, own)).otherwise(F.array(own))).alias("x")).select("conv_id", "record_id", "x.*")
+    return each.groupBy("conv_id", "record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "m")), lambda a, b: (a["o"] - b["o"]).cast("int")), lambda x: x["m"]).alias("messages"))
+
+
+@query("conversations", _REC + ", f AS (SELECT conv_id, arg_min(said, o) FILTER (said IS NOT NULL) AS said, bool_or(last AND is_call) AS open FROM v GROUP BY 1) SELECT conv_id, coalesce(said, CASE WHEN open THEN 'tool result correlation mismatch' ELSE '' END) AS violation FROM f")
 def message_violations(df: DataFrame) -> DataFrame:
-    """Message lists that break one rule each, with what is wrong with them stated by hand."""
-    k = ((F.col("conv_id") * 5 + F.col("turn")) % len(_FX) + 1).cast("int")
-    messages = F.from_json(F.element_at(F.array(*[F.lit(m) for m, _ in _FX]), k), V.MESSAGES)
-    rows = df.select(F.concat_ws("-", "conv_id", "turn").alias("record_id"), messages.alias("messages"))
-    return rows.select("record_id", F.coalesce(V.message_violation(F.lit("r1"), F.col("messages")), F.lit("")).alias("violation"))
+    """The first rule that each conversation's messages break."""
+    return checked_lists(df).select("conv_id", F.coalesce(V.message_violation(F.col("record_id"), F.col("messages")), F.lit("")).alias("violation"))
+
+
+@query("conversations", _REC + """, e AS (SELECT conv_id, coalesce(list(id ORDER BY o) FILTER (is_call AND coalesce(loss, true)), []) AS ids, coalesce(list(CASE WHEN n % 29 = 6 THEN 'pay' ELSE 'freeze_card' END ORDER BY o) FILTER (is_call AND coalesce(loss, true)), []) AS names, coalesce(list(id ORDER BY o) FILTER (is_call AND loss), []) AS targets, coalesce(list(CASE WHEN n % 29 = 6 THEN 'pay' ELSE 'freeze_card' END ORDER BY o) FILTER (is_call AND loss), []) AS target_names FROM v GROUP BY 1),
+s AS (SELECT v.conv_id, coalesce(list(v.id ORDER BY o) FILTER (is_result AND list_contains(e.ids, v.id)), []) AS told FROM v JOIN e USING (conv_id) GROUP BY 1)
+SELECT conv_id, concat_ws('; ', CASE WHEN targets <> (CASE WHEN conv_id % 6 = 1 THEN [] ELSE targets END) THEN 'ordered_calls mismatch' END, CASE WHEN target_names <> list_transform(target_names, lambda x: 'freeze_card') THEN 'expected tool_calls mismatch' END, CASE WHEN told <> targets THEN 'tool result correlation mismatch' END, CASE WHEN (len(targets) > 0) <> (conv_id % 4 <> 2) THEN 'requires_tool mismatch' END) AS violations FROM e JOIN s USING (conv_id)""")
+def record_agreement(df: DataFrame) -> DataFrame:
+    """Every conversation's calls against what its record is made to expect of them."""
+    rows = checked_lists(df)
+    targets = F.filter("messages", lambda m: V.is_call(m) & F.coalesce(m["loss"], F.lit(False)))
+    ids = F.transform(targets, lambda m: F.get(m["tool_calls"], F.lit(0))["id"])
+    ordered = F.when(F.col("conv_id") % 6 == 1, F.array().cast("array<string>")).otherwise(ids)
+    names = F.transform(targets, lambda m: F.lit("freeze_card"))
+    return rows.select("conv_id", F.array_join(V.agreement_violations(F.col("messages"), ordered, names, F.col("conv_id") % 4 != 2), "; ").alias("violations"))
 
 
 @query("conversations", r"""WITH r AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'user' AND turn = (SELECT max(turn) FROM conversations b WHERE b.conv_id = a.conv_id) THEN '   ' ELSE text END AS said FROM conversations a),
@@ -64,8 +108,6 @@ h AS (SELECT conv_id, count(*) AS n FROM r JOIN c USING (conv_id) WHERE turn < c
 SELECT conv_id, current, coalesce(n, 0)::INT AS n_history FROM c LEFT JOIN h USING (conv_id) WHERE current IS NOT NULL""")
 def visible_history(df: DataFrame) -> DataFrame:
     """The last turn of a user is blanked where it ends a conversation: history is still cut there."""
-    from pyspark.sql import Window
-
     last = F.max("turn").over(Window.partitionBy("conv_id"))
     rows = df.withColumn("text", F.when((F.col("role") == "user") & (F.col("turn") == last), "   ").otherwise(F.col("text")))
     lists = V.message_lists(rows)

@@ -29,3 +29,17 @@ def test_prefixes(spark):
     m = F.col("m")
     got = df.select("i", F.size(V.first_prefix(m)), F.size(V.grounded_prefix(m)), F.array_join(F.transform(V.target_results(m), lambda x: x["tool_call_id"]), ","), F.coalesce(V.last_of(m, lambda x: x["role"] == "user")["content"], F.lit(""))).collect()
     assert {r[0]: tuple(r)[1:] for r in got} == {i: p[1:] for i, p in enumerate(V.PREFIX_FIXTURES)}
+
+
+def test_message_rules(spark):
+    df = spark.createDataFrame([(i, f[0]) for i, f in enumerate(V.FIXTURES)], "i int, j string").select("i", F.from_json("j", V.MESSAGES).alias("m"))
+    got = {r.i: r.v for r in df.select("i", F.coalesce(V.message_violation(F.lit("r1"), F.col("m")), F.lit("")).alias("v")).collect()}
+    assert got == {i: f[1] for i, f in enumerate(V.FIXTURES)}
+
+
+def test_agreement(spark):
+    with_call, without = V._fixture(V._user(), V._calls(V._FREEZE), V._result("call_r1_0"), V._answer()), V._fixture(V._user(), V._answer())
+    stated = [(without, [], [], False, []), (with_call, ["call_r1_0"], ["freeze_card"], True, []), (with_call, ["x"], ["freeze_card"], True, ["ordered_calls mismatch"]), (with_call, ["call_r1_0"], ["list_cards"], True, ["expected tool_calls mismatch"]), (with_call, ["call_r1_0"], ["freeze_card"], False, ["requires_tool mismatch"])]
+    df = spark.createDataFrame([(i, *s) for i, s in enumerate(stated)], "i int, j string, ordered array<string>, names array<string>, needs boolean, want array<string>").withColumn("m", F.from_json("j", V.MESSAGES))
+    for r in df.withColumn("got", V.agreement_violations(F.col("m"), F.col("ordered"), F.col("names"), F.col("needs"))).collect():
+        assert r.got == r.want, r.i
