@@ -77,6 +77,16 @@ def parity_failures(report: DataFrame, least_agreement: float = 0.999, most_diff
     return report.withColumn("failures", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in checks])), "; "))
 
 
+def reload_parity(df: DataFrame, left: str, right: str, left_tokens: str, right_tokens: str, least_agreement: float = 0.999, most_diff: float = 0.3) -> DataFrame:
+    """Scores and generated tokens of a model before and after it was stored, in one row, and whether they pass."""
+    gap = F.transform(F.arrays_zip(F.col(left).alias("l"), F.col(right).alias("r")), lambda p: F.abs(p["l"] - p["r"]))
+    top = lambda c: F.array_position(c, F.array_max(c))
+    rows = df.select(gap.alias("gap"), (top(left) == top(right)).alias("same"), F.col(left_tokens).eqNullSafe(F.col(right_tokens)).alias("equal"))
+    one = rows.agg(F.bool_and(F.forall("gap", lambda g: g.isNotNull() & ~F.isnan(g) & (g != float("inf")))).alias("finite"), F.bool_and("equal").alias("generation_equal"), ratio(F.count_if("same"), F.count(F.lit(1))).alias("argmax_agreement"), F.max(F.array_max("gap")).alias("max_diff"))
+    passed = F.col("finite") & F.col("generation_equal") & (F.col("argmax_agreement") >= least_agreement) & (F.col("max_diff") <= most_diff)
+    return one.withColumn("passed", F.coalesce(passed, F.lit(False)))
+
+
 RUN = 1_000  # digests that are joined at once
 
 

@@ -74,6 +74,33 @@ def f1_threshold(df: DataFrame, score: str, label: str, tolerance: float) -> Dat
     return best.select(F.expr(f"filter(t, x -> x.f1 >= best - {tolerance!r})[0].threshold").alias("threshold"), F.col("best").alias("best_f1"))
 
 
+def kind_threshold(df: DataFrame, score: str, label: str, kind: Column, least_recall: float, least_kind_recall: float) -> DataFrame:
+    """As ``best_threshold``, but rows of a kind must keep a recall of their own too (1 where there are none). One pass for both."""
+    marked = df.select(F.col(score), F.col(label), kind.alias("_kind"))
+    whole = threshold_table(marked, score, label, 200).where("i BETWEEN 1 AND 199")
+    own = threshold_table(marked.where("_kind"), score, label, 200).select("i", F.col("tp").alias("k_tp"), F.col("positive").alias("k_positive"), F.col("negative").alias("k_negative"))
+    t = whole.join(own, "i")
+    n = F.coalesce("k_positive", F.lit(0)) + F.coalesce("k_negative", F.lit(0))
+    t = t.select((F.col("i") / F.lit(200.0)).alias("threshold"), ratio(F.col("tp"), F.col("positive")).alias("recall"), F.when(n == 0, 1.0).otherwise(ratio(F.col("k_tp"), F.col("k_positive"))).alias("kind_recall"), ratio(F.col("negative") - F.col("fp"), F.col("negative")).alias("specificity"))
+    t = t.withColumn("balanced", (F.col("recall") + F.col("specificity")) / 2).withColumn("ok", (F.col("recall") >= least_recall) & (F.col("kind_recall") >= least_kind_recall))
+    return t.agg(F.max(F.struct("ok", "specificity", "balanced", "threshold", "recall", "kind_recall")).alias("r")).select("r.threshold", "r.recall", "r.kind_recall", "r.specificity", F.col("r.balanced").alias("balanced_accuracy"))
+
+
+def relation_thresholds(df: DataFrame, relations: dict[str, tuple[Column, Column, float]]) -> DataFrame:
+    """relation and the least of thresholds 0.05 .. 0.95 whose F1 comes within the relation's tolerance of its best.
+
+    ``relations``: score, label (1 or other) and tolerance of each. One pass counts all; what follows has 20 rows a relation.
+    """
+    each = F.array(*[F.struct(F.lit(name).alias("relation"), cell(score, 20).alias("i"), (label == 1).alias("hit")) for name, (score, label, _) in relations.items()])
+    counts = df.select(F.explode(each).alias("r")).groupBy("r.relation", "r.i").agg(F.count_if("r.hit").alias("pos"), F.count_if(~F.col("r.hit")).alias("neg"))
+    names = df.sparkSession.range(1, 20).select(F.col("id").cast("int").alias("t"), F.explode(F.array(*[F.lit(n) for n in relations])).alias("relation"))
+    at = names.join(counts, "relation", "left").groupBy("relation", "t").agg(F.coalesce(F.sum(F.when(F.col("i") >= F.col("t"), F.col("pos"))), F.lit(0)).alias("tp"), F.coalesce(F.sum(F.when(F.col("i") >= F.col("t"), F.col("neg"))), F.lit(0)).alias("fp"), F.coalesce(F.sum("pos"), F.lit(0)).alias("positive"))
+    f1 = at.select("relation", (F.col("t") / F.lit(20.0)).alias("threshold"), ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("positive")).alias("f1"))
+    best = f1.groupBy("relation").agg(F.max("f1").alias("best_f1"))
+    slack = F.create_map(*[x for n, (_, _, t) in relations.items() for x in (F.lit(n), F.lit(max(t, 1e-12)))])
+    return f1.join(best, "relation").where(F.col("f1") >= F.col("best_f1") - slack[F.col("relation")]).groupBy("relation", "best_f1").agg(F.min("threshold").alias("threshold")).select("relation", "threshold", "best_f1")
+
+
 def route(domain: Column, rescue: Column, ood: float, inside: float, rescue_at: float) -> Column:
     return F.when(domain >= inside, "in_domain").when((domain < ood) & (rescue < rescue_at), "out_of_domain").otherwise("uncertain")
 

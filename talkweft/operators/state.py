@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_spaces
+from ..functions.text import casefold, norm_spaces
 
 
 def last_write(df: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
@@ -34,6 +34,25 @@ def top_rows(df: DataFrame, key: str, order: list[Column], k: int, name: str = "
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
+def selected(requests: DataFrame, rows: DataFrame, owner: str, row_id: str, text: str, newest: str, eligible: Column, what: str, by: str) -> DataFrame:
+    """Of each request (request_id, owner, wanted_id, wanted_text) the row it selects, or why there is none.
+
+    By id: that row of its owner. By text: the one eligible row whose text is the same but for case; more or none fail. By neither:
+    the newest eligible row (ties: the larger id). By both: refused. Requests that repeat are rows of their own.
+    """
+    good = rows.where(eligible)
+    both = F.col("wanted_id").isNotNull() & F.col("wanted_text").isNotNull()
+    by_id = requests.where(F.col("wanted_id").isNotNull() & ~both).join(rows.select(owner, F.col(row_id).alias("wanted_id"), F.lit(1).alias("_n")), [owner, "wanted_id"], "left").select("request_id", F.when(F.col("_n").isNotNull(), F.col("wanted_id")).alias(row_id), F.when(F.col("_n").isNull(), f"no matching synthetic {what}").alias("failure"))
+    texts = good.groupBy(owner, casefold(F.col(text)).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.min(row_id).alias(row_id))
+    by_text = requests.where(F.col("wanted_text").isNotNull() & ~both).withColumn("_key", casefold(F.col("wanted_text"))).join(texts, [owner, "_key"], "left")
+    found = F.coalesce("_n", F.lit(0))
+    by_text = by_text.select("request_id", F.when(found == 1, F.col(row_id)).alias(row_id), F.when(found != 1, F.concat(F.lit(f"expected exactly one matching synthetic {what}; found "), found.cast("string"))).alias("failure"))
+    last = good.groupBy(owner).agg(F.max_by(row_id, F.struct(newest, row_id)).alias(row_id))
+    neither = requests.where(F.col("wanted_id").isNull() & F.col("wanted_text").isNull()).join(last, owner, "left").select("request_id", row_id, F.when(F.col(row_id).isNull(), f"no matching synthetic {what}").alias("failure"))
+    refused = requests.where(both).select("request_id", F.lit(None).cast(rows.schema[row_id].dataType).alias(row_id), F.lit(f"select a {what} by ID or {by}, not both").alias("failure"))
+    return by_id.unionByName(by_text).unionByName(neither).unionByName(refused)
+
+
 def pending(requests: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return requests.join(done.select(*key).distinct(), key, "left_anti")
 

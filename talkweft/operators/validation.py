@@ -171,9 +171,15 @@ def visible_before_current(messages: Column) -> Column:
 
 
 def canonical_conversation(messages: Column) -> Column:
-    """Messages of known roles with a text, stripped; tools' keep their call's id."""
-    good = F.filter(messages, lambda m: m["role"].isin("system", "user", "assistant", "tool") & (strip(m["content"]) != ""))
-    return F.transform(good, lambda m: F.struct(m["role"].alias("role"), strip(m["content"]).alias("content"), F.when(m["role"] == "tool", m["tool_call_id"]).alias("tool_call_id")))
+    """What of a stored conversation goes on: user texts stripped and not blank; answers likewise, or as they are where they call
+    tools; tools' results with a name and a text, and their call's id stripped, if there is one. All else is dropped."""
+    user = lambda m: (m["role"] == "user") & (strip(m["content"]) != "")
+    calls = lambda m: (m["role"] == "assistant") & m["content"].isNotNull() & (F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0)
+    answer = lambda m: (m["role"] == "assistant") & (strip(m["content"]) != "") & ~calls(m)
+    tool = lambda m: (m["role"] == "tool") & m["name"].isNotNull() & m["content"].isNotNull()
+    good = F.filter(messages, lambda m: F.coalesce(user(m) | calls(m) | answer(m) | tool(m), F.lit(False)))
+    blank = lambda c: F.when(strip(c) != "", strip(c))
+    return F.transform(good, lambda m: F.struct(m["role"].alias("role"), F.when(calls(m) | tool(m), m["content"]).otherwise(strip(m["content"])).alias("content"), F.when(calls(m), m["tool_calls"]).alias("tool_calls"), F.when(tool(m), blank(m["tool_call_id"])).alias("tool_call_id"), F.when(tool(m), m["name"]).alias("name")))
 
 
 def _fixture(*messages: dict) -> str:

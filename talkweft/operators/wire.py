@@ -205,6 +205,23 @@ def read_serving(raw: str, turn: str | None) -> tuple[str | None, list[tuple]]:
     return (None if calls else raw), calls
 
 
+def rendered_calls(calls: Column) -> Column:
+    """The assistant message of calls (id, index, name, arguments): as a message, with no text."""
+    made = F.transform(calls, lambda c: F.struct(c["id"].alias("id"), c["index"].alias("index"), F.lit("function").alias("type"), F.struct(c["name"].alias("name"), c["arguments"].alias("arguments")).alias("function")))
+    return F.struct(F.lit("assistant").alias("role"), F.lit("").alias("content"), made.alias("tool_calls"))
+
+
+def rendered_result(call: Column, content: Column) -> Column:
+    """The tool message of a call's result, whose content is JSON text."""
+    return F.struct(F.lit("tool").alias("role"), call["id"].alias("tool_call_id"), call["name"].alias("name"), content.alias("content"))
+
+
+def tagged(calls: Column) -> Column:
+    """Calls as a model writes them: a tagged block each, which the parses read back."""
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.char_length(F.to_json(F.array(c))) - 2)
+    return F.array_join(F.transform(calls, lambda c: F.concat(F.lit('<tool_call>{"id": '), quoted(c["id"]), F.lit(', "name": '), quoted(c["name"]), F.lit(', "arguments": '), c["arguments"], F.lit(', "index": '), c["index"].cast("string"), F.lit("}</tool_call>"))), "\n")
+
+
 READ = "failure string, content string, calls array<struct<id:string,index:int,name:string,arguments:string>>"
 
 
