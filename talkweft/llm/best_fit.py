@@ -25,6 +25,7 @@ from .tokens import WordCache, count_of, default_vocabulary
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 SHARD_ROWS = 20_000
+WORDS = 300_000  # words a worker process remembers: the pipeline runs this stage last, beside what the others have left
 ATTENTION = 65_536  # length at which attention costs as much as the rest
 PACKED = "doc_id long, piece int, piece_start long, n_tokens long, shard long, bin long, bin_length int, bin_offset int"
 
@@ -72,7 +73,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     vocabulary = vocabulary or default_vocabulary()
 
     def make():
-        cache = WordCache(vocabulary)
+        cache = WordCache(vocabulary, WORDS)
         return lambda x: {"doc_id": x["doc_id"], "n_tokens": [count_of(t, cache) + 1 for t in x["text"]]}
 
     return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long")

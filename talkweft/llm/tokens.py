@@ -1,7 +1,7 @@
 """Token ids by the tokenizers library, a word at a time.
 
 The vocabulary's pre-tokenizer drops white space and no token spans it, so a text's ids are those of its
-words in turn; a worker process remembers up to WORDS of them. A run of Latin letters, with or without
+words in turn; a worker process remembers up to WORDS of them, or what the caller allows. A run of Latin letters, with or without
 punctuation after it, is one piece and one more for the pre-tokenizer too: the library's model alone encodes
 these, after lower-casing. All other words go through the whole tokenizer. Where a vocabulary treats such words
 otherwise (held against PROBES when it is loaded), all do.
@@ -71,10 +71,11 @@ class _Encoder:
 class WordCache:
     """Ids of words. What a worker process has learnt serves all its tasks: it is kept under a module of its own."""
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, words: int = WORDS) -> None:
         import sys
         from types import ModuleType
 
+        self.words = words
         kept = sys.modules.setdefault("_talkweft_words", ModuleType("_talkweft_words")).__dict__
         if vocabulary not in kept:
             kept[vocabulary] = _Encoder(vocabulary)
@@ -87,7 +88,7 @@ class WordCache:
         words, known = text.replace("\n", " ").split(" "), self.encoder.known
         new = list(set(words).difference(known))
         if new:
-            if len(known) + len(new) > WORDS:
+            if len(known) + len(new) > self.words:
                 known.clear()
                 new = list(set(words))
             learnt = self.encoder.learn(new)
