@@ -8,7 +8,7 @@ shortest permitted length that takes its contents. The cost of a length is itsel
 
 Edge cases: documents longer than the longest length are cut into pieces of it, and nothing is dropped; null
 and empty texts are one end token; ties go to the smaller doc_id and piece, then to the older bin, so packing is
-deterministic; equal rows are packed each; null doc_ids are packed like others; an empty table gives no rows; other
+deterministic; equal rows are packed each; null doc_ids are packed like others, in shards that follow their place in the table; an empty table gives no rows; other
 columns are not read, so names can't clash.
 """
 
@@ -84,9 +84,10 @@ def pack_documents(lengths_of: DataFrame, n_rows: int, lengths: tuple[int, ...]
     most = max(lengths)
     shards = max(1, -(-n_rows // shard_rows))
     last = F.greatest(F.ceil(F.col("n_tokens") / most).cast("int"), F.lit(1)) - 1
-    pieces = lengths_of.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * F.lit(most).cast("long")).alias("piece_start"), F.least(F.lit(most).cast("long"), F.col("n_tokens") - F.col("piece") * F.lit(most)).alias("size"))
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "size"), F.lit(shards))
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("place")  # rows without an id are dealt by where they stand, else all of one size would meet
+    pieces = lengths_of.select("doc_id", "n_tokens", place, F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    pieces = pieces.select("doc_id", "place", "piece", (F.col("piece") * F.lit(most).cast("long")).alias("piece_start"), F.least(F.lit(most).cast("long"), F.col("n_tokens") - F.col("piece") * F.lit(most)).alias("size"))
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "size", "place"), F.lit(shards))
     dealt = pieces.withColumn("shard", shard).repartition(max(shuffle_partitions(lengths_of.sparkSession), min(shards, 2000)), "shard").sortWithinPartitions("shard", F.desc("size"), "doc_id", "piece")
 
     schema = _arrow_schema(PACKED)

@@ -4,10 +4,12 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_exact_dup import plain as plain_components
 from test_oracles import DATA
 
@@ -138,6 +140,17 @@ def test_packing_equals_plain_on_drawn_sizes():
         assert best_fit.pack(sizes, lengths) == plain_pack(sizes, lengths)
 
 
+def test_rows_without_id_are_spread(spark):
+    """A table of null ids and one size fills many shards, each packed by itself; ids deal rows as they did."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.lit(100).cast("long").alias("n_tokens"))
+    placed = best_fit.pack_documents(rows, 4000, shard_rows=200).collect()
+    sizes = Counter(r.shard for r in placed if r.doc_id is None)
+    assert len(placed) == 4000 and len(sizes) == 20 and max(sizes.values()) < 200
+    one = {r.doc_id: r.shard for r in placed if r.doc_id is not None}
+    again = best_fit.pack_documents(rows.where("doc_id IS NOT NULL"), 4000, shard_rows=200)
+    assert {r.doc_id: r.shard for r in again.collect()} == one
+
+
 def test_scores_equal_all_labelings():
     """Marginals of short chains by summing over every labeling."""
     rng = np.random.default_rng(3)
