@@ -59,12 +59,10 @@ CASE WHEN count(*) FILTER (role = 'assistant' AND loss) = 0 THEN '{K.NO_TARGET}'
 def token_masks(df: DataFrame) -> DataFrame:
     """What the labels of every conversation say when they are decoded, and whether quoted answers can be masked in plain lines, where the quote merges with the colon."""
     rows = stored_messages(df).withColumn("messages", T.template_messages(F.col("messages")))
-    made = K.training_rows(rows, T.Template.read(T.MARKED), "messages", vocabulary(), tools=TOOLS)
-    shown = F.filter("labels", lambda x: x != K.IGNORED)
-    made = made.select("conv_id", "messages", F.size("spans").cast("long").alias("n_spans"), F.sha2(K.decoded(shown, vocabulary()), 256).alias("labelled_sha256"), F.sha2(K.decoded(F.col("input_ids"), vocabulary()), 256).alias("tokens_sha256"))
     quoted = F.transform("messages", lambda m: m.withField("content", F.when((m["role"] == "assistant") & (F.col("conv_id") % 5 == 0), F.concat(F.lit('"'), F.coalesce(m["content"], F.lit("")))).otherwise(m["content"])).withField("tool_calls", F.when(F.col("conv_id") % 5 != 0, m["tool_calls"])))
-    plain = K.training_rows(made.withColumn("messages", quoted), T.Template.read(T.PLAIN), "messages", vocabulary())
-    return plain.select("conv_id", F.col("n_spans"), "labelled_sha256", "tokens_sha256", F.col("failure").alias("quoted_failure"))
+    views = {"marked": (T.Template.read(T.MARKED), "messages", ["n_spans", "labelled", "whole"], {"tools": TOOLS}), "plain": (T.Template.read(T.PLAIN), "quoted", ["failure"], {})}
+    said = K.read_back(rows.withColumn("quoted", quoted), views, vocabulary())
+    return said.select("conv_id", F.col("marked_n_spans").alias("n_spans"), F.sha2("marked_labelled", 256).alias("labelled_sha256"), F.sha2("marked_whole", 256).alias("tokens_sha256"), F.col("plain_failure").alias("quoted_failure"))
 
 
 _BUDGET = 400
