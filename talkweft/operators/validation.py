@@ -37,16 +37,29 @@ def answer_violations(answer: Column, path: Column, template: Column) -> Column:
     return F.array_compact(F.array(F.when(short, "final assistant response is missing semantic content"), F.when(F.exists(wanted, lambda m: ~said.contains(norm_ascii(m))), "final assistant response is missing path markers")))
 
 
-def corpus_gates(records: DataFrame, splits: list[str]) -> DataFrame:
-    """gate and passed for a corpus with record_id, split, path and calls; distinct values are few, records are counted by key."""
-    tools = F.array_distinct(F.flatten(F.collect_set(F.transform("calls", lambda c: c["name"]))))
-    calls = F.size("calls") > 0
-    one = records.agg(tools.alias("tools"), F.collect_set("path").alias("paths"), F.collect_set("split").alias("splits"), F.count_if(calls & (F.col("path") != "tool_error")).alias("ok"), F.count_if(calls & (F.col("path") == "tool_error")).alias("error"))
-    repeated = records.groupBy("record_id").count().where("count > 1").agg(F.count(F.lit(1)).alias("repeated"))
-    has = lambda c, values: F.size(F.array_except(F.array(*[F.lit(v) for v in values]), c)) == 0
-    gates = {"all_tools_covered": has(F.col("tools"), list(PUBLIC_ARGUMENTS)), "ok_present": F.col("ok") > 0, "error_present": F.col("error") > 0, "required_paths": has(F.col("paths"), REQUIRED_PATHS), "no_empty_split": has(F.col("splits"), splits), "unique_records": F.col("repeated") == 0}
-    rows = F.array(*[F.struct(F.lit(k).alias("gate"), c.alias("passed")) for k, c in gates.items()])
-    return one.join(F.broadcast(repeated)).select(F.inline(rows))  # one row each
+def corpus_gates(records: DataFrame, calls: DataFrame, splits: list[str]) -> DataFrame:
+    """gate, n and passed for a corpus: what each gate counts, and whether that is as it must be.
+
+    ``records`` has record_id, split, path and accepted; ``calls`` has a row for each call of each message, with its name and
+    whether its result is ok (null: no result). Both are aggregates of fixed size, but for ids, which are counted by key.
+    """
+    has = lambda c, values, kind: [F.coalesce(F.bool_or(F.col(c) == v), F.lit(False)).cast("long").alias(f"{kind}{i}") for i, v in enumerate(values)]
+    held = lambda values, kind: sum((F.col(f"{kind}{i}") for i in range(len(values))), F.lit(0).cast("long"))
+    tools = list(PUBLIC_ARGUMENTS)
+    called = calls.agg(*has("name", tools, "tool"), F.count_if(~F.col("name").isin(tools)).alias("unknown"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("error"))
+    one = records.agg(*has("path", REQUIRED_PATHS, "path"), *has("split", splits, "split"), F.count(F.lit(1)).alias("total"), F.count_if("accepted").alias("accepted"))
+    ids = records.groupBy("record_id").agg(F.lit(1).alias("one")).agg(F.count("record_id").alias("ids"))
+    gates = {
+        "all_accepted": (F.col("accepted"), F.col("accepted") == F.col("total")),
+        "all_tools_covered": (held(tools, "tool"), (held(tools, "tool") == len(tools)) & (F.col("unknown") == 0)),
+        "ok_present": (F.col("ok"), F.col("ok") > 0),
+        "error_present": (F.col("error"), F.col("error") > 0),
+        "required_paths": (held(REQUIRED_PATHS, "path"), held(REQUIRED_PATHS, "path") == len(REQUIRED_PATHS)),
+        "no_empty_split": (held(splits, "split"), held(splits, "split") == len(splits)),
+        "unique_records": (F.col("ids"), F.col("ids") == F.col("total")),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("gate"), n.alias("n"), passed.alias("passed")) for k, (n, passed) in gates.items()])
+    return one.join(F.broadcast(called)).join(F.broadcast(ids)).select(F.inline(rows))  # one row each
 
 
 def is_call(m: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import corpus as C
 from ..operators import validation as V
 from .catalog import query
 
@@ -28,21 +29,39 @@ def answer_violations(df: DataFrame) -> DataFrame:
     return last.select("conv_id", F.array_join(V.answer_violations(said, pick(_PATHS, F.floor(c / 2)), pick(_TEMPLATES, F.floor(c / 3))), "; ").alias("violations"))
 
 
-@query("conversations", """WITH r AS (SELECT conv_id, 'rec_' || (conv_id - CASE WHEN conv_id % 50 = 7 THEN 1 ELSE 0 END) AS record_id, CASE WHEN conv_id % 10 < 7 THEN 'train' WHEN conv_id % 10 < 8 THEN 'validation' ELSE 'test' END AS split, ['tool_success', 'tool_error', 'clarification', 'no_tool_banking_faq', 'ood', 'hard_negative', 'multi_turn'][count(*) % 7 + 1] AS path, CASE WHEN count(*) % 2 = 0 THEN ['list_accounts', 'list_cards', 'list_service_cases', 'list_transactions', 'list_transfers', 'freeze_card', 'replace_card', 'dispute_transaction', 'cancel_transfer'][conv_id % 9 + 1] END AS tool FROM conversations GROUP BY conv_id)
-SELECT 'all_tools_covered' AS gate, count(DISTINCT tool) = 9 AS passed FROM r UNION ALL SELECT 'ok_present', count(*) FILTER (tool IS NOT NULL AND path <> 'tool_error') > 0 FROM r UNION ALL SELECT 'error_present', count(*) FILTER (tool IS NOT NULL AND path = 'tool_error') > 0 FROM r UNION ALL SELECT 'required_paths', count(DISTINCT path) = 7 FROM r UNION ALL SELECT 'no_empty_split', count(DISTINCT split) = 3 FROM r UNION ALL SELECT 'unique_records', count(*) = count(DISTINCT record_id) FROM r""")
+_TOOLS = list(V.PUBLIC_ARGUMENTS)
+_ALL_PATHS = [*V.REQUIRED_PATHS, "conversation"]
+_in = lambda values: "(" + _list(values)[1:-1] + ")"
+
+
+@query("conversations", rf"""WITH t AS (SELECT *, coalesce(length(text), 0) AS n FROM conversations),
+k AS (SELECT {_list(_TOOLS)}[(n + conv_id + i) % {len(_TOOLS)} + 1] AS tool, CASE WHEN (n + i) % 11 <> 6 THEN (n + i) % 4 <> 1 END AS ok FROM (SELECT conv_id, n, unnest(range(n % 3)) AS i FROM t WHERE role = 'assistant')),
+c AS (SELECT conv_id, 'rec_' || (conv_id - CASE WHEN conv_id % 50 = 7 THEN 1 ELSE 0 END) AS record_id, {_list(_ALL_PATHS)}[sum(n)::BIGINT % {len(_ALL_PATHS)} + 1] AS path, {_list(_TEMPLATES)}[conv_id // 3 % {len(_TEMPLATES)} + 1] AS template, 'family-' || (conv_id // 3) AS grp, coalesce(arg_max(coalesce(text, ''), turn) FILTER (role = 'assistant'), '') || {_list(_ADDED)}[conv_id % {len(_ADDED)} + 1] AS said FROM t GROUP BY conv_id),
+n AS (SELECT *, trim(regexp_replace(lower(said), '[^a-z0-9]+', ' ', 'g')) AS x FROM c),
+a AS (SELECT *, NOT (len(list_filter(string_split(x, ' '), lambda w: w <> '')) < 7 OR {_marks('path', V.PATH_MARKERS)} OR (path = 'no_tool_banking_faq' AND ({_marks('template', V.FAQ_MARKERS)}))) AS accepted FROM n),
+g AS (SELECT grp, row_number() OVER (ORDER BY sha256('711' || chr(10) || grp)) AS n, greatest(1, round_even(count(*) OVER () * 0.15, 0)) AS m FROM (SELECT DISTINCT grp FROM c)),
+r AS (SELECT a.*, CASE WHEN g.n <= m THEN 'validation' WHEN g.n <= 2 * m THEN 'test' ELSE 'train' END AS split FROM a JOIN g USING (grp))
+SELECT 'all_accepted' AS gate, count(*) FILTER (accepted) AS n, count(*) FILTER (accepted) = count(*) AS passed FROM r UNION ALL SELECT 'all_tools_covered', count(DISTINCT tool) FILTER (tool IN {_in(_TOOLS)}), count(DISTINCT tool) FILTER (tool IN {_in(_TOOLS)}) = {len(_TOOLS)} AND count(*) FILTER (tool NOT IN {_in(_TOOLS)}) = 0 FROM k UNION ALL SELECT 'ok_present', count(*) FILTER (ok), count(*) FILTER (ok) > 0 FROM k UNION ALL SELECT 'error_present', count(*) FILTER (NOT ok), count(*) FILTER (NOT ok) > 0 FROM k
+UNION ALL SELECT 'required_paths', count(DISTINCT path) FILTER (path IN {_in(V.REQUIRED_PATHS)}), count(DISTINCT path) FILTER (path IN {_in(V.REQUIRED_PATHS)}) = {len(V.REQUIRED_PATHS)} FROM r UNION ALL SELECT 'no_empty_split', count(DISTINCT split), count(DISTINCT split) = 3 FROM r UNION ALL SELECT 'unique_records', count(DISTINCT record_id), count(*) = count(DISTINCT record_id) FROM r""")
 def corpus_gates(df: DataFrame) -> DataFrame:
-    """A record for each conversation: its path is read off its length, its tool off its number; some ids repeat."""
-    c, n = F.col("conv_id"), F.col("n")
-    tools = ["list_accounts", "list_cards", "list_service_cases", "list_transactions", "list_transfers", "freeze_card", "replace_card", "dispute_transaction", "cancel_transfer"]
+    """A record for each conversation. Its turns' texts give its path, its assistant's calls (up to two a message, every one counted, some without a result) and its final answer, which is accepted by its rules; splits go by families of three; some ids repeat."""
     pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
-    call = F.struct(pick(tools, c).alias("name"))
-    rows = df.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).select(
+    c, n = F.col("conv_id"), F.col("n")
+    turns = df.withColumn("n", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+    k = n + F.col("i")
+    made = turns.where("role = 'assistant' AND n % 3 > 0").select(c, n, F.explode(F.sequence(F.lit(0).cast("long"), n % 3 - 1)).alias("i"))
+    calls = made.select(pick(_TOOLS, k + c).alias("name"), F.when(k % 11 != 6, k % 4 != 1).alias("ok"))
+    said = F.max_by(F.when(F.col("role") == "assistant", F.coalesce("text", F.lit(""))), F.when(F.col("role") == "assistant", F.col("turn")))
+    records = turns.groupBy("conv_id").agg(F.sum("n").alias("n"), said.alias("said")).select(
         F.concat(F.lit("rec_"), (c - F.when(c % 50 == 7, 1).otherwise(0)).cast("string")).alias("record_id"),
-        F.when(c % 10 < 7, "train").when(c % 10 < 8, "validation").otherwise("test").alias("split"),
-        pick(["tool_success", "tool_error", "clarification", "no_tool_banking_faq", "ood", "hard_negative", "multi_turn"], n).alias("path"),
-        F.when(n % 2 == 0, F.array(call)).otherwise(F.array().cast("array<struct<name:string>>")).alias("calls"),
+        F.concat(F.lit("family-"), F.floor(c / 3).cast("string")).alias("family"),
+        pick(_ALL_PATHS, n).alias("path"),
+        pick(_TEMPLATES, F.floor(c / 3)).alias("template"),
+        F.concat(F.coalesce("said", F.lit("")), pick(_ADDED, c)).alias("said"),
     )
-    return V.corpus_gates(rows, ["train", "validation", "test"])
+    accepted = F.size(V.answer_violations(F.col("said"), F.col("path"), F.col("template"))) == 0
+    judged = records.select("record_id", "family", "path", accepted.alias("accepted"))
+    return V.corpus_gates(C.group_split(judged, "family", 711), calls, ["train", "validation", "test"])
 
 
 # Every conversation as a record's messages: some assistant turns call a tool first. What is wrong with a message follows from its turn's length.
